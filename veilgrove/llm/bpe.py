@@ -24,14 +24,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgrove.llm.common import text_or_empty
+from veilgrove.llm.common import ddl, map_texts, text_or_empty
 
 #: Characters of a pre-token above which it is encoded as a tree of halves.
 LEAF = 2048
@@ -157,10 +157,6 @@ class _Codec:
         return " ".join(map(self.names.__getitem__, ids.tolist()))
 
 
-def _digest(doc: object, ids: np.ndarray, codec: _Codec) -> tuple:
-    return doc, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()
-
-
 def blocks_of(text: str, size: int) -> list[str]:
     """Cut at a blank near each multiple of ``size``; a stretch without a blank stays whole."""
     out, at = [], 0
@@ -174,33 +170,32 @@ def blocks_of(text: str, size: int) -> list[str]:
 
 
 def encode_frame(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, block: int = BLOCK, leaf: int = LEAF, window: int = WINDOW) -> DataFrame:
-    """One row per block of a document: id, block, n_blocks, ids (little-endian unsigned 32-bit).
+    """One row per block of a document: id, row, block, n_blocks, ids (little-endian unsigned 32-bit).
 
-    The ids of a document are those of its blocks in order.  Texts up to
-    ``block`` characters are one block and are not moved; blocks of longer ones
-    are dealt over all tasks before they are encoded.
+    The ids of a document are those of its blocks in order; ``row`` tells the
+    input's longer rows apart, should ids repeat.  Texts up to ``block``
+    characters are one block and are not moved; blocks of longer ones are dealt
+    over all tasks before they are encoded.
     """
     path = path or default_tokenizer()
     src = text_or_empty(docs, id_col, text_col)
-    kind = src.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, row bigint, block int, n_blocks int, text string"
+    schema = f"{ddl(src, id_col)}, row bigint, block int, n_blocks int, {text_col} string"
 
-    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, row, text in zip(b[id_col], b["row"], b[text_col], strict=True):
+            for k, text in enumerate(b.column(text_col).to_pylist()):
                 got = blocks_of(text, block)
-                for k, part in enumerate(got):  # one block at a time: bounded memory
-                    yield pd.DataFrame({id_col: [i], "row": [row], "block": [k], "n_blocks": [len(got)], "text": [part]})
+                for n, part in enumerate(got):  # one block at a time: bounded memory
+                    yield pa.RecordBatch.from_arrays([b.column(id_col).slice(k, 1), b.column("row").slice(k, 1), pa.array([n], pa.int32()), pa.array([len(got)], pa.int32()), pa.array([part])], names=[id_col, "row", "block", "n_blocks", text_col])
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoder() -> Callable[[list[str]], list[pa.Array]]:
         codec = _Codec.of(path, leaf, window)
-        for b in batches:
-            yield pd.DataFrame({id_col: b[id_col], "row": b["row"], "block": b["block"], "n_blocks": b["n_blocks"], "ids": [codec.encode(t).tobytes() for t in b["text"]]})
+        return lambda texts: [pa.array([codec.encode(t).tobytes() for t in texts], pa.binary())]
 
-    out_schema = f"`{id_col}` {kind}, row bigint, block int, n_blocks int, ids binary"
-    short = src.where(F.length(text_col) <= block).select(id_col, F.lit(0).cast("long").alias("row"), F.lit(0).alias("block"), F.lit(1).alias("n_blocks"), F.col(text_col).alias("text"))
-    long = src.where(F.length(text_col) > block).withColumn("row", F.monotonically_increasing_id()).mapInPandas(cut_up, schema)
-    return short.mapInPandas(encode, out_schema).unionByName(long.repartition("row", "block").mapInPandas(encode, out_schema))
+    keep = [id_col, "row", "block", "n_blocks"]
+    short = src.where(F.length(text_col) <= block).select(id_col, F.lit(0).cast("long").alias("row"), F.lit(0).alias("block"), F.lit(1).alias("n_blocks"), text_col)
+    long = src.where(F.length(text_col) > block).withColumn("row", F.monotonically_increasing_id()).mapInArrow(cut_up, schema)
+    return map_texts(short, keep, text_col, "ids binary", encoder).unionByName(map_texts(long.repartition("row", "block"), keep, text_col, "ids binary", encoder))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, block: int = BLOCK, leaf: int = LEAF, window: int = WINDOW) -> DataFrame:
@@ -211,34 +206,36 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     """
     path = path or default_tokenizer()
     src = text_or_empty(docs, id_col, text_col)
-    kind = src.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+    fields = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+
+    def digest(ids: np.ndarray, codec: _Codec) -> tuple:
+        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def columns(rows: list[tuple]) -> list[pa.Array]:
+        n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
+        return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+
+    def whole() -> Callable[[list[str]], list[pa.Array]]:
         codec = _Codec.of(path, leaf, window)
-        for b in batches:
-            yield pd.DataFrame([_digest(i, codec.encode(t), codec) for i, t in zip(b[id_col], b[text_col], strict=True)], columns=names)
+        return lambda texts: columns([digest(codec.encode(t), codec) for t in texts])
 
-    def met(b: pd.DataFrame) -> pd.DataFrame:
+    def met(t: pa.Table) -> pa.Table:
         codec = _Codec.of(path, leaf, window)
-        b = b.sort_values("block")
-        ids = np.concatenate([np.frombuffer(x, "<u4") for x in b["ids"]])
-        return pd.DataFrame([_digest(b[id_col].iloc[0], ids, codec)], columns=names)
+        t = t.sort_by("block")
+        ids = np.frombuffer(b"".join(t.column("ids").to_pylist()), "<u4")
+        return pa.Table.from_arrays([t.column(id_col).slice(0, 1), *columns([digest(ids, codec)])], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    short = src.where(F.length(text_col) <= block).mapInPandas(whole, schema)
+    short = map_texts(src.where(F.length(text_col) <= block), [id_col], text_col, fields, whole)
     long = encode_frame(src.where(F.length(text_col) > block), id_col, text_col, path, block, leaf, window)
-    return short.unionByName(long.groupBy("row").applyInPandas(met, schema))
+    return short.unionByName(long.groupBy("row").applyInArrow(met, f"{ddl(src, id_col)}, {fields}"))
 
 
 def decode_frame(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """Decode little-endian unsigned 32-bit ids, special tokens included: id, text.  Null ids decode to the empty text."""
     path = path or default_tokenizer()
-    kind = encoded.schema[id_col].dataType.simpleString()
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decoder() -> Callable[[list[bytes | None]], list[pa.Array]]:
         codec = _Codec.of(path)
-        for b in batches:
-            yield pd.DataFrame({id_col: b[id_col], "text": [codec.decode(np.frombuffer(x or b"", "<u4")) for x in b[ids_col]]})
+        return lambda rows: [pa.array([codec.decode(np.frombuffer(x or b"", "<u4")) for x in rows], pa.string())]
 
-    return encoded.select(id_col, ids_col).mapInPandas(decode, f"`{id_col}` {kind}, text string")
+    return map_texts(encoded.select(id_col, ids_col), [id_col], ids_col, "text string", decoder)

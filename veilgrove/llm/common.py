@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +37,25 @@ def cut(df: DataFrame) -> DataFrame:
 def text_or_empty(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator needs, a null text as the empty one."""
     return df.select(F.col(id_col), *[F.col(c) for c in more], F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
+
+
+def ddl(df: DataFrame, *cols: str) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
+
+
+def map_texts(df: DataFrame, keep: list[str], text_col: str, fields: str, make: Callable[[], Callable[[list[str]], list[pa.Array]]]) -> DataFrame:
+    """``keep`` as they are, and the columns of ``fields`` that a function of the texts gives.
+
+    ``make`` is called once a task and returns that function, from the texts of
+    a batch to one array for each field.  Ids never pass through Python objects.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apply = make()
+        for b in batches:
+            got = apply(b.column(text_col).to_pylist())
+            cols = [b.column(c) for c in keep] + got
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, *names])
+
+    names = [f.strip().split(" ")[0] for f in fields.split(",")]
+    return df.select(*keep, text_col).mapInArrow(run, f"{ddl(df, *keep)}, {fields}")
