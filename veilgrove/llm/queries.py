@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrove.llm import bpe, rules, simhash
+from veilgrove.llm import bpe, rules, secret_scan, simhash, token_counts
 from veilgrove.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _query(op8_quality_rules, rules.SQL)
+
+
+@_query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secret_scan.secrets(documents(spark, sf_dir))
+    return got.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_crf")
+
+
+@_query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = token_counts.count(documents(spark, sf_dir), rule="majority")
+    whole = [F.col(c).cast("long").alias(c) for c in ("title_tokens", "body_tokens", "blank_tokens")]
+    return got.select("doc_id", "n_tokens", "n_sections", "n_crossing", *whole, F.array_join(F.col("section_tokens").cast("array<long>").cast("array<string>"), ",").alias("section_tokens"))
