@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrove.llm import bpe, rules, secret_scan, simhash, token_counts
-from veilgrove.llm.common import documents
+from veilgrove.llm import bpe, html_text, rules, secret_scan, simhash, token_counts
+from veilgrove.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = token_counts.count(documents(spark, sf_dir), rule="majority")
     whole = [F.col(c).cast("long").alias(c) for c in ("title_tokens", "body_tokens", "blank_tokens")]
     return got.select("doc_id", "n_tokens", "n_sections", "n_crossing", *whole, F.array_join(F.col("section_tokens").cast("array<long>").cast("array<string>"), ",").alias("section_tokens"))
+
+
+@_query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
