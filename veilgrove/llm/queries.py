@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrove.llm import bpe, html_text, rules, secret_scan, simhash, token_counts
+from veilgrove.llm import bpe, html_text, quality, rules, secret_scan, simhash, token_counts
 from veilgrove.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    got = quality.classify(docs.select("doc_id", "text", "source", "lang"), model, F.col("source"), F.col("lang"))
+    return got.select("doc_id", *quality.RESULTS)
