@@ -37,7 +37,8 @@ from veilgrove.llm.rules import STOP_WORDS
 
 #: Labelled rows to fit on, at most; words of the lexicon, at most.
 SAMPLE, LEXICON = 20_000, 300
-KEEP, TOXIC = 0.5, 0.5
+#: A wrong rejection costs three times what a wrong keep does, hence a quarter.
+KEEP, TOXIC = 0.25, 0.5
 RESULTS = ("doc_prob", "host_posterior", "path_posterior", "posterior", "toxic_prob", "kept")
 #: Sites up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_SITES = 50_000
@@ -120,13 +121,13 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, qu
     return docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(picked), id_col)
 
 
-def lexicon(rows: DataFrame, size: int = LEXICON, support: int = 5, odds: float = 8.0) -> frozenset[bytes]:
-    """Words in at least ``support`` toxic documents and ``odds`` times as likely there as elsewhere."""
+def lexicon(rows: DataFrame, size: int = LEXICON, support: float = 0.02, odds: float = 8.0) -> frozenset[bytes]:
+    """Words in a share of at least ``support`` of the toxic documents, and in 5, and ``odds`` times as likely there as elsewhere."""
     n = rows.agg(F.sum("_toxic"), F.sum(1 - F.col("_toxic"))).first()
     if not n[0] or not n[1]:
         return frozenset()
     words = rows.where(F.col("_toxic").isNotNull()).select("_toxic", F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}\p{M}'’-]+"))).alias("word")).where("word <> ''")
-    by = words.groupBy("word").agg(F.sum("_toxic").alias("bad"), F.sum(1 - F.col("_toxic")).alias("other")).where(F.col("bad") >= support)
+    by = words.groupBy("word").agg(F.sum("_toxic").alias("bad"), F.sum(1 - F.col("_toxic")).alias("other")).where(F.col("bad") >= max(5, support * n[0]))
     ratio = ((F.col("bad") + 0.5) / (n[0] + 1)) / ((F.col("other") + 0.5) / (n[1] + 1))
     top = by.where(ratio >= odds).orderBy(F.desc(ratio), "word").limit(size).select("word").collect()
     return frozenset(r.word.encode() for r in top)
