@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -59,3 +60,15 @@ def map_texts(df: DataFrame, keep: list[str], text_col: str, fields: str, make:
 
     names = [f.strip().split(" ")[0] for f in fields.split(",")]
     return df.select(*keep, text_col).mapInArrow(run, f"{ddl(df, *keep)}, {fields}")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table of its own in the shared checkpoint folder and read it from there."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="veilgrove-checkpoint-"))
+    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

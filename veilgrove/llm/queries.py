@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrove.llm import bpe, decontaminate, html_text, pii, quality, rules, secret_scan, simhash, token_counts
+from veilgrove.llm import bpe, decontaminate, html_text, line_dedup, pii, quality, rules, secret_scan, simhash, token_counts
 from veilgrove.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return got.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
