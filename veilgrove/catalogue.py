@@ -23,3 +23,10 @@ def query(name: str, oracle: str | None = None):
         return fn
 
     return add
+
+
+def _load() -> None:
+    from veilgrove.queries import prep, splits  # noqa: F401
+
+
+_load()
