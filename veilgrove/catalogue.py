@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from veilgrove.queries import prep, splits  # noqa: F401
+    from veilgrove.queries import graphs, io, models, prep, splits  # noqa: F401
 
 
 _load()
