@@ -62,7 +62,7 @@ def test_against_brute_force(spark, seed, cold):
 
 
 def test_the_ways_beyond_the_broadcast_bounds(spark, monkeypatch):
-    for name in ("BROADCAST_KEYS", "BROADCAST_ROWS", "BROADCAST_LINES"):
+    for name in ("BROADCAST_KEYS", "BROADCAST_ROWS", "BROADCAST_LINES", "BROADCAST_SETS"):
         monkeypatch.setattr(L, name, 0)
     check(spark, texts(4, 30), cold=2)
 
@@ -90,11 +90,21 @@ def test_filters_keep_every_similar_pair():
         x, y = set(a.tolist()), set(b.tolist())
         if 5 * len(x & y) < 4 * len(x | y):
             continue
-        bits = [np.bitwise_xor.reduce(np.uint64(1) << (L._mix(np.array(sorted(s), np.uint64), 5) & np.uint64(63))) for s in (x, y)]
-        first = min(x & y)
-        places = [sorted(s).index(first) for s in (x, y)]
-        assert all(p < L.prefix_length(np.array(len(s))) for p, s in zip(places, (x, y), strict=True))
-        assert not L._far(*(np.array([v]) for v in (len(x), len(y), *bits, *places)))[0]
+        sets = []
+        for t in (x, y):
+            o = np.array(sorted(t), np.uint64)
+            b1, b2 = L.bucket_counts(o, np.zeros(len(o), int), 1)
+            sets.append({"n": np.array([len(t)]), "b1": b1, "b2": b2, "place": np.array([sorted(t).index(min(x & y))])})
+        assert all(s["place"][0] < L.prefix_length(s["n"])[0] for s in sets)
+        assert not L._far(*sets)[0]
+
+
+def test_nibble_distance():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 16, (200, 16)), rng.integers(0, 16, (200, 16))
+    pack = lambda v: sum(v[:, k].astype(np.uint64) << np.uint64(4 * k) for k in range(16))
+    d = (a - b) % 16
+    assert L.nibble_distance(pack(a), pack(b)).tolist() == np.minimum(d, 16 - d).sum(1).tolist()
 
 
 def test_no_rows(spark):

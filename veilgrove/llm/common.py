@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,6 +41,17 @@ def text_or_empty(df: DataFrame, id_col: str, text_col: str, *more: str) -> Data
     return df.select(F.col(id_col), *[F.col(c) for c in more], F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
 
 
+#: Rows of a batch that goes to a Python worker, at most: texts of many kilobytes make ten thousand rows too much.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the rows of an Arrow batch to BATCH_ROWS; what a worker holds follows from it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def ddl(df: DataFrame, *cols: str) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
 
@@ -59,6 +71,7 @@ def map_texts(df: DataFrame, keep: list[str], text_col: str, fields: str, make:
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *names])
 
     names = [f.strip().split(" ")[0] for f in fields.split(",")]
+    bounded_batches(df.sparkSession)
     return df.select(*keep, text_col).mapInArrow(run, f"{ddl(df, *keep)}, {fields}")
 
 
@@ -72,3 +85,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are stored and that nothing refers to any more.
+
+    Spark does so when the driver's JVM collects its garbage, by itself every
+    half hour; a job of many steps would fill the disks before that.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -11,8 +11,8 @@ match only an equal set in their own document.  Lines without a word stay.
 2. Equal sets are collapsed to their first line by a partial aggregation.
 3. Every set's rarest words, as many as the prefix filter needs, are the join
    keys.  Candidates must pass the length filter, the positional filter, and a
-   bound on the difference from 64 parity bits of either set; all three keep
-   every true pair.
+   bound on the difference from either set's word counts in 32 buckets, modulo
+   16; all three keep every true pair.
 4. Groups of up to ``COLD`` rows are compared in whole; each line keeps one
    candidate for each key, which is enough where it is confirmed.  In larger
    groups, such as copies with a word changed, all lines are first held against
@@ -37,18 +37,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgrove.llm.common import cut, ddl, stored
+from veilgrove.llm.common import bounded_batches, cut, ddl, release, stored
 
 THRESHOLD = (4, 5)
 MIN_WORDS = 5
-#: Counters of the rarity sketch; rows of a group that is compared in whole; hot keys, unsettled rows and wanted lines that may be broadcast.
+#: Counters of the rarity sketch; rows of a group that is compared in whole; hot keys, unsettled rows, wanted lines and repeated sets that may be broadcast.
 SKETCH, COLD = 1 << 16, 4096
-BROADCAST_KEYS, BROADCAST_ROWS, BROADCAST_LINES = 100_000, 200_000, 2_000_000
+BROADCAST_KEYS, BROADCAST_ROWS, BROADCAST_LINES, BROADCAST_SETS = 100_000, 200_000, 2_000_000, 500_000
 #: Bytes of text that are taken apart at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 17
 _NO_ID = -(2**63)
 
 
@@ -78,7 +78,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"]
 
 
-def word_hashes(raw: np.ndarray, line_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, line_starts: np.ndarray, lines: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
     """64-bit hash of every word of ``raw``, and the line it is in; no word goes over a line's start.
 
     A polynomial over the whole buffer gives every word's hash as a difference
@@ -98,7 +98,7 @@ def word_hashes(raw: np.ndarray, line_starts: np.ndarray) -> tuple[np.ndarray, n
     up, down = _power(n)
     run = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[raw] * up, out=run[1:])
-    return _mix((run[e] - run[s]) * down[s] + (e - s).astype(np.uint64)), np.searchsorted(line_starts, s, "right") - 1
+    return _mix((run[e] - run[s]) * down[s] + (e - s).astype(np.uint64)), np.searchsorted(line_starts, s, "right") - 1 if lines else None
 
 
 def chunks(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -124,14 +124,14 @@ def chunks(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, int, np.
 
 
 # -- sets ------------------------------------------------------------------------------------------
-def rarity(docs: DataFrame, text_col: str) -> np.ndarray:
-    """Rank of each of the sketch's counters, rarest first; ties by number."""
+def rarity(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of each of the sketch's counters, rarest first, ties by number; and the counts in order of rank."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for b in batches:
             for _, _, raw, starts, _, _ in chunks(b, text_col):
-                h, _ = word_hashes(raw, starts)
+                h, _ = word_hashes(raw, starts, False)
                 total += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], names=["k", "n"])
@@ -140,8 +140,9 @@ def rarity(docs: DataFrame, text_col: str) -> np.ndarray:
     total = np.zeros(SKETCH, np.int64)
     total[got.column("k").to_numpy()] = got.column("n").to_numpy()
     rank = np.empty(SKETCH, np.uint64)
-    rank[np.lexsort((np.arange(SKETCH), total))] = np.arange(SKETCH, dtype=np.uint64)
-    return rank
+    order = np.lexsort((np.arange(SKETCH), total))
+    rank[order] = np.arange(SKETCH, dtype=np.uint64)
+    return rank, total[order]
 
 
 def ordered_sets(h: np.ndarray, line: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,14 +159,37 @@ def ordered_sets(h: np.ndarray, line: np.ndarray, rank: np.ndarray) -> tuple[np.
     return o2[keep], l2[keep]
 
 
+def bucket_counts(o: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each line in 32 buckets, modulo 16, in the nibbles of two numbers."""
+    bucket = (_mix(o, 5) & np.uint64(31)).astype(np.int64)
+    counts = (np.bincount(line * 32 + bucket, minlength=lines * 32).reshape(lines, 32) & 15).astype(np.uint64)
+    shift = np.uint64(4) * np.arange(16, dtype=np.uint64)
+    return (counts[:, :16] << shift).sum(1, dtype=np.uint64), (counts[:, 16:] << shift).sum(1, dtype=np.uint64)
+
+
+_TOP, _BYTES, _ONES = np.uint64(0x8888888888888888), np.uint64(0x0F0F0F0F0F0F0F0F), np.uint64(0x0101010101010101)
+
+
+def nibble_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sum over nibbles of their distance modulo 16: no more than words that only one of two sets has."""
+    d = ((x | _TOP) - (y & ~_TOP)) ^ ((x ^ ~y) & _TOP)
+    back = (d & _TOP) >> np.uint64(3)
+    a = (d ^ (back * np.uint64(15))) + back
+    return (((a & _BYTES) + ((a >> np.uint64(4)) & _BYTES)) * _ONES >> np.uint64(56)).astype(np.int32)
+
+
 def prefix_length(n: np.ndarray) -> np.ndarray:
     """Rarest words of which a similar set must share one."""
     a, b = THRESHOLD
     return n - -(-a * n // b) + 1
 
 
-def line_sets(docs: DataFrame, rank: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """A row for each line with a word: doc, line, n, s1, s2 (the set's 128-bit key), bits, prefix."""
+def line_sets(docs: DataFrame, rank: np.ndarray, hot_from: int, id_col: str, text_col: str) -> DataFrame:
+    """A row for each line with a word: doc, line, n, s1, s2 (the set's 128-bit key), b1, b2 (counts in 32 buckets), prefix, perhaps.
+
+    ``perhaps`` is the part of the prefix whose words the sketch counts at rank
+    ``hot_from`` or above; only those can be in a large group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,53 +206,86 @@ def line_sets(docs: DataFrame, rank: np.ndarray, id_col: str, text_col: str) ->
                 short = n < MIN_WORDS
                 s1[short] += _mix(doc[short].view(np.uint64), 3)
                 s2[short] += _mix(doc[short].view(np.uint64), 4)
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (_mix(o, 5) & np.uint64(63)), edge)
+                b1, b2 = bucket_counts(o, np.repeat(np.arange(len(n)), n), len(n))
                 p = np.where(short, 0, prefix_length(n))
                 ends = np.cumsum(p)
                 take = np.repeat(edge - (ends - p), p) + np.arange(ends[-1])
                 keys = (_mix(o[take], 6) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number[own].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(bits.view(np.int64)), prefix], names=["doc", "line", "n", "s1", "s2", "bits", "prefix"])
+                often = (o[take] >> np.uint64(48)) >= np.uint64(hot_from)
+                bounds = np.concatenate([[0], np.cumsum(often)])[np.concatenate([[0], ends])]
+                perhaps = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(keys[often]))
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number[own].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(b1.view(np.int64)), pa.array(b2.view(np.int64)), prefix, perhaps], names=["doc", "line", "n", "s1", "s2", "b1", "b2", "prefix", "perhaps"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc bigint, line int, n int, s1 bigint, s2 bigint, bits bigint, prefix array<int>")
+    return docs.select(id_col, text_col).mapInArrow(run, "doc bigint, line int, n int, s1 bigint, s2 bigint, b1 bigint, b2 bigint, prefix array<int>, perhaps array<int>")
 
 
 # -- candidates ---------------------------------------------------------------------------------------
-def _far(n1: np.ndarray, n2: np.ndarray, b1: np.ndarray, b2: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+def _far(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
     """True where the filters tell that two sets, whose first common word is at these places, are not similar."""
     a, b = THRESHOLD
-    both = n1 + n2
-    far = (a + b) * np.bitwise_count(b1 ^ b2).astype(np.int32) > (b - a) * both
-    far |= b * np.minimum(n1, n2) < a * np.maximum(n1, n2)
-    return far | ((a + b) * np.minimum(n1 - p1, n2 - p2) < a * both)
+    both = x["n"] + y["n"]
+    far = b * np.minimum(x["n"], y["n"]) < a * np.maximum(x["n"], y["n"])
+    far |= (a + b) * np.minimum(x["n"] - x["place"], y["n"] - y["place"]) < a * both
+    differ = nibble_distance(x["b1"], y["b1"]) + nibble_distance(x["b2"], y["b2"])
+    return far | ((a + b) * differ > (b - a) * both)
 
 
-def near_sql(x: str, y: str) -> Column:
-    """The same filters as a join condition, and that ``x`` comes before ``y``."""
+_FIELDS = ("n", "b1", "b2", "place")
+
+
+def _column(b: pa.RecordBatch, name: str) -> np.ndarray:
+    v = b.column(name).to_numpy(zero_copy_only=False)
+    return v.view(np.uint64) if name.lstrip("xy_") in ("b1", "b2") else v
+
+
+def joined_candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """doc, line, doc2, line2: all pairs that share a key and pass the filters, for keys or lines that are too many for one group."""
     a, b = THRESHOLD
-    both = f"({x}.n + {y}.n)"
-    return F.expr(
-        f"{a + b} * bit_count({x}.bits ^ {y}.bits) <= {b - a} * {both} AND {b} * least({x}.n, {y}.n) >= {a} * greatest({x}.n, {y}.n) "
-        f"AND {a + b} * least({x}.n - {x}.place, {y}.n - {y}.place) >= {a} * {both} AND ({x}.doc < {y}.doc OR ({x}.doc = {y}.doc AND {x}.line < {y}.line))"
+    near = F.expr(
+        f"{b} * least(x.n, y.n) >= {a} * greatest(x.n, y.n) AND {a + b} * least(x.n - x.place, y.n - y.place) >= {a} * (x.n + y.n) "
+        "AND (x.doc < y.doc OR (x.doc = y.doc AND x.line < y.line))"
     )
+    pairs = earlier.alias("x").join(later.alias("y"), F.col("x.key") == F.col("y.key")).where(near)
+    pairs = pairs.select("y.doc", "y.line", F.col("x.doc").alias("doc2"), F.col("x.line").alias("line2"), *[F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "xy" for c in _FIELDS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in batches:
+            x, y = ({c: _column(r, f"{t}_{c}") for c in _FIELDS} for t in "xy")
+            yield r.select(["doc", "line", "doc2", "line2"]).filter(pa.array(~_far(x, y)))
+
+    return pairs.mapInArrow(run, "doc bigint, line int, doc2 bigint, line2 int").distinct()
 
 
-def compare_groups(key: np.ndarray, doc: np.ndarray, line: np.ndarray, n: np.ndarray, bits: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(later row, earlier row): one candidate, if there is any, for each row of rows sorted by key, doc and line."""
-    size = len(key)
+def compare_groups(key: np.ndarray, sets: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(later row, earlier row): one candidate, if there is any, for each row of rows sorted by key, doc and line.
+
+    The filters by length and place come first; the counts are compared only
+    where these two leave a pair.
+    """
+    a, b = THRESHOLD
+    n, b1, b2 = sets["n"].astype(np.int32), sets["b1"], sets["b2"]
+    left = (a + b) * (n - sets["place"].astype(np.int32))
+    at = np.arange(len(key))
     start = np.searchsorted(key, key, "left")
-    todo = np.flatnonzero(np.arange(size) > start)
+    back = at - start
+    todo = np.flatnonzero(back > 0)
     later, earlier = [], []
-    back = np.arange(size) - start
     d = 0
     while len(todo):
         # From the group's first row on, so that copies of an early line are settled at once.
         other = start[todo] + d
-        hit = ~_far(n[todo], n[other], bits[todo], bits[other], place[todo], place[other])
-        later.append(todo[hit])
-        earlier.append(other[hit])
+        x, y = n[todo], n[other]
+        both = x + y
+        near = np.flatnonzero((b * np.minimum(x, y) >= a * np.maximum(x, y)) & (np.minimum(left[todo], left[other]) >= a * both))
+        p, q = todo[near], other[near]
+        hit = (a + b) * (nibble_distance(b1[p], b1[q]) + nibble_distance(b2[p], b2[q])) <= (b - a) * both[near]
+        later.append(p[hit])
+        earlier.append(q[hit])
         d += 1
-        todo = todo[~hit & (back[todo] > d)]
+        on = back[todo] > d
+        on[near[hit]] = False
+        todo = todo[on]
     return (np.concatenate(later), np.concatenate(earlier)) if later else (np.empty(0, int), np.empty(0, int))
 
 
@@ -236,28 +293,41 @@ def cold_candidates(rows: DataFrame, parts: int) -> DataFrame:
     """doc, line, doc2, line2: one earlier candidate of a line for each key that its group has one for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "doc", "line", "n", "bits", "place")
-        held: list[list[np.ndarray]] = []
+        names = ("key", "doc", "line", *_FIELDS)
+        held: list[dict[str, np.ndarray]] = []
 
-        def out(cols: list[np.ndarray]) -> pa.RecordBatch:
-            b, a = compare_groups(*cols[:4], cols[4].view(np.uint64), cols[5])
-            found = np.unique(np.rec.fromarrays([cols[1][b], cols[2][b], cols[1][a], cols[2][a]], names="a,b,c,d"))
+        def out(c: dict[str, np.ndarray]) -> pa.RecordBatch:
+            b, a = compare_groups(c["key"], {k: c[k] for k in _FIELDS})
+            found = np.unique(np.rec.fromarrays([c["doc"][b], c["line"][b], c["doc"][a], c["line"][a]], names="a,b,c,d"))
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[k])) for k in "abcd"], names=["doc", "line", "doc2", "line2"])
 
+        def whole() -> dict[str, np.ndarray]:
+            return {c: np.concatenate([h[c] for h in held]) for c in names}
+
         for b in batches:
-            held.append([b.column(c).to_numpy(zero_copy_only=False) for c in names])
-            if sum(len(h[0]) for h in held) < 200_000:
+            held.append({c: _column(b, c) for c in names})
+            if sum(len(h["key"]) for h in held) < 100_000:
                 continue
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            last = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # the last group may go on
-            held = [[c[last:] for c in cols]]
+            cols = whole()
+            last = int(np.searchsorted(cols["key"], cols["key"][-1], "left"))  # the last group may go on
+            held = [{c: v[last:] for c, v in cols.items()}]
             if last:
-                yield out([c[:last] for c in cols])
+                yield out({c: v[:last] for c, v in cols.items()})
         if held:
-            yield out([np.concatenate(c) for c in zip(*held, strict=True)])
+            yield out(whole())
 
     dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "doc", "line")
-    return dealt.select("key", "doc", "line", "n", "bits", "place").mapInArrow(run, "doc bigint, line int, doc2 bigint, line2 int").distinct()
+    return dealt.select("key", "doc", "line", *_FIELDS).mapInArrow(run, "doc bigint, line int, doc2 bigint, line2 int")
+
+
+def _by_doc(lines: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, where each one's lines begin, and the lines, in order; called behind a check of the size only."""
+    got = lines.select("doc", "line").toArrow()
+    doc, line = got.column("doc").to_numpy(), got.column("line").to_numpy()
+    order = np.lexsort((line, doc))
+    doc, line = doc[order], line[order]
+    known, first = np.unique(doc, return_index=True)
+    return known, np.append(first, len(doc)), line
 
 
 def word_sets(docs: DataFrame, wanted: DataFrame, rank: np.ndarray, id_col: str, text_col: str) -> DataFrame:
@@ -267,32 +337,35 @@ def word_sets(docs: DataFrame, wanted: DataFrame, rank: np.ndarray, id_col: str,
 
     def emit(doc: np.ndarray, keep: Callable, chunk: tuple) -> pa.RecordBatch | None:
         at, _, raw, starts, row, number = chunk
-        mine = keep(doc[at + row], number, row + at)
-        if not mine.any():
+        mine = np.flatnonzero(keep(doc[at + row], number, row + at))
+        if not len(mine):
             return None
-        h, line = word_hashes(raw, starts)
-        take = mine[line]
-        o, line = ordered_sets(h[take], line[take], rank)
-        edge = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(o) else np.empty(0, int)
-        own = line[edge] if len(o) else edge
+        # Only the wanted lines are taken apart.
+        a, b = starts[mine], np.append(starts[1:], len(raw))[mine]
+        own = np.concatenate([[0], np.cumsum(b - a)])
+        part = np.concatenate([raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+        o, line = ordered_sets(*word_hashes(part, own[:-1]), rank)
+        if not len(o):
+            return None
+        edge = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+        which = mine[line[edge]]
         lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(o)).astype(np.int32)), pa.array(o.view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(doc[at + row[own]]), pa.array(number[own].astype(np.int32)), lists], names=["doc", "line", "words"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[at + row[which]]), pa.array(number[which].astype(np.int32)), lists], names=["doc", "line", "words"])
 
     if wanted.count() <= BROADCAST_LINES:
-        got = wanted.toArrow()
-        key = np.rec.fromarrays([got.column("doc").to_numpy(), got.column("line").to_numpy()], names="d,l")
-        key.sort()
-        sent = sc.broadcast((np.ascontiguousarray(key["d"]), np.ascontiguousarray(key["l"])))
+        sent = sc.broadcast(_by_doc(wanted))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            d, number_of = sent.value
+            known, edges, numbers = sent.value
 
             def keep(doc: np.ndarray, number: np.ndarray, _: np.ndarray) -> np.ndarray:
-                lo, hi = np.searchsorted(d, doc, "left"), np.searchsorted(d, doc, "right")
+                at = np.searchsorted(known, doc)
                 out = np.zeros(len(doc), bool)
-                for k in np.flatnonzero(hi > lo).tolist():
-                    at = lo[k] + np.searchsorted(number_of[lo[k] : hi[k]], number[k])
-                    out[k] = at < hi[k] and number_of[at] == number[k]
+                at[at == len(known)] = 0
+                for k in np.flatnonzero(known[at] == doc).tolist() if len(known) else ():
+                    own = numbers[edges[at[k]] : edges[at[k] + 1]]
+                    p = np.searchsorted(own, number[k])
+                    out[k] = p < len(own) and own[p] == number[k]
                 return out
 
             for b in batches:
@@ -326,40 +399,46 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cold: int = COLD) -> DataFrame:
     """doc (the null id as the smallest long), line (from 0) of every line to be removed, once each."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rank = rarity(docs, text_col)
-    lines = stored(line_sets(docs, rank, id_col, text_col), "lines")
-    firsts = lines.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line")).alias("f"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    firsts = stored(firsts.select("s1", "s2", "f.doc", "f.line", "n", "bits", "prefix"), "firsts")
-
-    rows = firsts.where(F.size("prefix") > 0).select(F.posexplode("prefix").alias("place", "key"), "doc", "line", "n", "bits")
-    hot = cut(rows.groupBy("key").agg(F.count("*").alias("_c")).where(F.col("_c") > cold).select("key"))
+    rank, counts = rarity(docs, text_col)
+    lines = stored(line_sets(docs, rank, int(np.searchsorted(counts, cold, "right")), id_col, text_col), "lines")
+    firsts = lines.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line")).alias("f"), F.first("n").alias("n"), F.first("b1").alias("b1"), F.first("b2").alias("b2"), F.first("prefix").alias("prefix"), F.first("perhaps").alias("perhaps"), F.count("*").alias("copies"))
+    firsts = stored(firsts.select("s1", "s2", "f.doc", "f.line", "n", "b1", "b2", "prefix", "perhaps", "copies"), "firsts")
+    release(spark)
+
+    rows = firsts.where(F.size("prefix") > 0).select(F.posexplode("prefix").alias("place", "key"), "doc", "line", "n", "b1", "b2")
+    hot = cut(firsts.select(F.explode("perhaps").alias("key")).groupBy("key").agg(F.count("*").alias("_c")).where(F.col("_c") > cold).select("key"))
     n_hot = hot.count()
+    release(spark)
     known = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
     pairs = cold_candidates(rows.join(known, "key", "left_anti") if n_hot else rows, parts)
     unsure = None
     if n_hot:
         held = rows.join(known, "key")
-        pivots = held.groupBy("key").agg(F.min(F.struct("doc", "line", "n", "bits", "place")).alias("p")).select("key", "p.*")
+        pivots = held.groupBy("key").agg(F.min(F.struct("doc", "line", "n", "b1", "b2", "place")).alias("p")).select("key", "p.*")
         pivots = F.broadcast(pivots) if n_hot <= BROADCAST_KEYS else pivots
-        led = held.alias("y").join(pivots.alias("x"), "key").where(near_sql("x", "y")).select("y.doc", "y.line", F.col("x.doc").alias("doc2"), F.col("x.line").alias("line2"))
-        pairs = pairs.unionByName(led.distinct())
+        pairs = pairs.unionByName(joined_candidates(pivots, held))
         unsure = held.select("doc", "line")
-    pairs = cut(pairs.distinct())
+    # One candidate of a line is tried first, the earliest; it is nearly always confirmed.
+    pairs = cut(pairs.groupBy("doc", "line").agg(F.min(F.struct("doc2", "line2")).alias("p")).select("doc", "line", "p.doc2", "p.line2"))
+    release(spark)
     unsure = pairs.select("doc", "line") if unsure is None else unsure.unionByName(pairs.select("doc", "line"))
 
     gone = cut(_settle(docs, pairs, rank, id_col, text_col))
+    release(spark)
     unsure = cut(unsure.distinct().join(gone, ["doc", "line"], "left_anti"))
     n_unsure = unsure.count()
     if n_unsure:
         few = n_unsure <= BROADCAST_ROWS // 20
         later = rows.join(F.broadcast(unsure) if few else unsure, ["doc", "line"])
         later = F.broadcast(later) if few else later
-        full = rows.alias("x").join(later.alias("y"), "key").where(near_sql("x", "y")).select("y.doc", "y.line", F.col("x.doc").alias("doc2"), F.col("x.line").alias("line2"))
-        more = cut(full.distinct())
+        more = cut(joined_candidates(rows, later))
         gone = gone.unionByName(cut(_settle(docs, more, rank, id_col, text_col)))
 
-    own = lines.select("doc", "line", "s1", "s2").join(firsts.select("s1", "s2", F.col("doc").alias("d1"), F.col("line").alias("l1")), ["s1", "s2"])
+    repeated = firsts.where("copies > 1").select("s1", "s2", F.col("doc").alias("d1"), F.col("line").alias("l1"))
+    repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_SETS else repeated
+    own = lines.select("doc", "line", "s1", "s2").join(repeated, ["s1", "s2"])
     copies = own.where((F.col("doc") != F.col("d1")) | (F.col("line") != F.col("l1"))).select("doc", "line")
     return copies.unionByName(gone).distinct()
 
@@ -372,24 +451,33 @@ def _settle(docs: DataFrame, pairs: DataFrame, rank: np.ndarray, id_col: str, te
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cold: int = COLD) -> DataFrame:
     """All rows and columns of ``docs``, the text without its removed lines, and n_lines, n_removed."""
     docs = docs.drop("n_lines", "n_removed")
-    gone = removed_lines(docs, id_col, text_col, cold).groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("_gone"))
-    return _without(docs, gone, id_col, text_col)
-
-
-def _without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    gone = cut(removed_lines(docs, id_col, text_col, cold))
+    release(docs.sparkSession)
     names = docs.columns
-    joined = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
+    fields = f"{ddl(docs, *names)}, n_lines bigint, n_removed bigint"
+
+    def cleared(b: pa.RecordBatch, drops: list) -> pa.RecordBatch:
+        texts, all_lines, lost = [], [], []
+        for t, g in zip(b.column(text_col).to_pylist(), drops, strict=True):
+            t, drop = t or "", set(g if g is not None else ())
+            texts.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop) if drop else t)
+            all_lines.append(t.count("\n") + 1)
+            lost.append(len(drop))
+        cols = [pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in names]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(all_lines, pa.int64()), pa.array(lost, pa.int64())], names=[*names, "n_lines", "n_removed"])
+
+    if gone.count() <= BROADCAST_LINES:
+        sent = docs.sparkSession.sparkContext.broadcast(_by_doc(gone))
+
+        def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, edges, numbers = sent.value
+            for b in batches:
+                ids = b.column(id_col).cast(pa.int64()).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+                at = np.searchsorted(known, ids)
+                yield cleared(b, [numbers[edges[k] : edges[k + 1]].tolist() if k < len(known) and known[k] == i else None for k, i in zip(at.tolist(), ids.tolist(), strict=True)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, all_lines, lost = [], [], []
-            for t, g in zip(b.column(text_col).to_pylist(), b.column("_gone").to_pylist(), strict=True):
-                parts = (t or "").split("\n")
-                drop = set(g or ())
-                texts.append("\n".join(x for k, x in enumerate(parts) if k not in drop) if drop else t or "")
-                all_lines.append(len(parts))
-                lost.append(len(drop))
-            cols = [pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(all_lines, pa.int64()), pa.array(lost, pa.int64())], names=[*names, "n_lines", "n_removed"])
-
-    return joined.mapInArrow(run, f"{ddl(docs, *names)}, n_lines bigint, n_removed bigint")
+        return docs.mapInArrow(in_place, fields)
+
+    listed = gone.groupBy("doc").agg(F.collect_list("line").alias("_gone")).withColumnRenamed("doc", "_doc")
+    joined = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).join(listed, "_doc", "left").drop("_doc")
+    return joined.mapInArrow(lambda batches: (cleared(b, b.column("_gone").to_pylist()) for b in batches), fields)
