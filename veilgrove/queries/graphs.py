@@ -33,9 +33,9 @@ def leaf_clique_edges(spark, d):
     return edges(spark, d)
 
 
-@query("visible_leaves", f"WITH {sql.GROUPS} SELECT leaf, count(*) AS n FROM g WHERE leaf % 2 = 0 GROUP BY 1")
+@query("visible_leaves", f"WITH {sql.GROUPS} SELECT leaf, leaf % 2 = 0 AS visible, count(*) AS n FROM g GROUP BY ALL")
 def visible_leaves(spark, d):
-    return groups(spark, d).where("leaf % 2 = 0").groupBy("leaf").agg(F.count("*").alias("n"))
+    return groups(spark, d).groupBy("leaf", (F.col("leaf") % 2 == 0).alias("visible")).agg(F.count("*").alias("n"))
 
 
 @query("chunked_clique", f"WITH {sql.GROUPS}, c AS (SELECT row_id, leaf, floor((row_number() OVER (PARTITION BY leaf ORDER BY row_id) - 1) / 3)::INT AS chunk FROM g), l AS (SELECT leaf, chunk, min(row_id) AS lo, max(row_id) AS hi FROM c GROUP BY ALL) "
@@ -92,7 +92,7 @@ def union_star(spark, d):
 
 
 _UNION = (
-    f"WITH RECURSIVE {sql.GROUPS}, m AS (SELECT leaf, min(row_id) AS a FROM g GROUP BY 1), v AS (SELECT row_id, label * 100 + leaf % 5 AS k FROM g WHERE row_id % 2 = 0), m2 AS (SELECT k, min(row_id) AS a FROM v GROUP BY 1), "
+    f"WITH RECURSIVE {sql.GROUPS}, m AS (SELECT leaf, min(row_id) AS a FROM g GROUP BY 1), v AS (SELECT row_id, label * 100 + leaf % 5 AS k FROM g), m2 AS (SELECT k, min(row_id) AS a FROM v GROUP BY 1), "
     "e AS (SELECT row_id AS x, a AS y FROM g JOIN m USING (leaf) UNION SELECT row_id, a FROM v JOIN m2 USING (k)), s AS (SELECT x, y FROM e UNION SELECT y, x FROM e), "
     "r(row_id, root) AS (SELECT row_id, row_id FROM g UNION SELECT s.y, r.root FROM r JOIN s ON s.x = r.row_id WHERE r.root <= s.y) SELECT row_id, min(root) AS root FROM r GROUP BY 1"
 )
@@ -101,7 +101,7 @@ _UNION = (
 @query("union_components", _UNION)
 def union_components(spark, d):
     g = groups(spark, d)
-    second = g.where("row_id % 2 = 0").withColumn("k", F.col("label") * 100 + F.col("leaf") % 5)
+    second = g.withColumn("k", F.col("label") * 100 + F.col("leaf") % 5)
     stars = G.star_edges(g, ["leaf"]).union(G.star_edges(second, ["k"]))
     return G.components(stars, cut, g)
 

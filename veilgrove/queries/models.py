@@ -101,12 +101,12 @@ _IN = _kl([f"cum_c{k}" for k in range(3)], "cum_n", _PRIOR)
 _OUT = _kl([f"tot_c{k} - cum_c{k}" for k in range(3)], "(tot_n - cum_n)", _PRIOR)
 
 
-@query("lmir_bound", f"WITH {sql.CUM} SELECT party_id, feature_id, x, round(greatest({_IN}, {_OUT}), 6) + 0 AS xi FROM run WHERE feature_id <> 1")
+@query("lmir_bound", f"WITH {sql.CUM} SELECT party_id, feature_id, x, round(greatest({_IN}, {_OUT}), 6) + 0 AS xi FROM run")
 def lmir_bound(spark, d):
     from veilgrove.operators import split as P
     from veilgrove.queries.splits import COLS, KEYS, hist3
 
-    run = P.cumulative(hist3(spark, d).where("feature_id <> 1"), KEYS, "x", COLS)
+    run = P.cumulative(hist3(spark, d), KEYS, "x", COLS)
     run = run.join(P.totals(hist3(spark, d), KEYS, COLS), KEYS)
     xi = D.lmir([F.col(f"cum_c{k}") for k in range(3)], [F.col(f"tot_c{k}") for k in range(3)])
     return run.select(*KEYS, "x", (F.round(xi, 6) + 0).alias("xi"))
@@ -168,26 +168,48 @@ def contaminated(spark, d):
     return D.mismatched(placed, ["node"], "z", "y")
 
 
+#: Bits of the primes; a toy size, as in experiments, so that whole tables can be sealed in a test.
+KEY_BITS = 96
+
+
 # -- cryptography -----------------------------------------------------------------------------------
-@query("paillier_sum", "SELECT l_returnflag, sum(l_quantity)::BIGINT AS total FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1")
+@query("paillier_sum", "SELECT l_returnflag, sum(l_quantity)::BIGINT AS total FROM lineitem GROUP BY 1")
 def paillier_sum(spark, d):
     from veilgrove.functions import paillier as H
 
-    pub, sec = H.keypair(256, seed=5)
-    df = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 50 = 0").select("l_returnflag", F.col("l_quantity").cast("long").alias("v"))
+    pub, sec = H.keypair(KEY_BITS, seed=5)
+    df = spark.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", F.col("l_quantity").cast("long").alias("v"))
     sent = df.select("l_returnflag", H.encrypt(pub)("v").alias("c"))
     return H.sum_by(sent, ["l_returnflag"], "c", pub).select("l_returnflag", H.decrypt(sec)("c").cast("long").alias("total"))
 
 
-@query("paillier_scale_add", "SELECT o_orderkey, (o_custkey * 3 - 7)::BIGINT AS v FROM orders WHERE o_orderkey < 200")
+@query("paillier_scale_add", "SELECT o_orderkey, (o_custkey * 3 - 7)::BIGINT AS v FROM orders")
 def paillier_scale_add(spark, d):
     from veilgrove.functions import paillier as H
 
-    pub, sec = H.keypair(256, seed=5)
-    df = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey < 200").select("o_orderkey", H.encrypt(pub)("o_custkey").alias("c"))
+    pub, sec = H.keypair(KEY_BITS, seed=5)
+    df = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", H.encrypt(pub)("o_custkey").alias("c"))
     return df.select("o_orderkey", H.decrypt(sec)(H.add_plain(pub, -7)(H.multiply(pub, 3)("c"))).cast("long").alias("v"))
 
 
+_SEALED = (
+    f"WITH {sql.CELLS} SELECT feature_id, x, count(*) AS n, round(sum(0.5 - y2)::DOUBLE, 6) AS g, round(sum(0.25)::DOUBLE, 6) AS h, sum((y2 = 0)::INT)::BIGINT AS c0, sum((y2 = 1)::INT)::BIGINT AS c1 FROM cells WHERE party_id = 1 GROUP BY ALL"
+)
+
+
+@query("secure_histogram", _SEALED)
+def secure_histogram(spark, d):
+    from veilgrove.functions import paillier as H
+    from veilgrove.plans import secure as E
+
+    vf = lineitem2(spark, d)
+    p = S.sigmoid(F.lit(0.0))
+    named = {"g": S.bce_gradient(F.col("y"), p), "h": S.bce_hessian(p), "c0": (F.col("y") == 0).cast("double"), "c1": (F.col("y") == 1).cast("double")}
+    pub, sec = H.keypair(KEY_BITS, seed=5)
+    got = E.opened(E.sealed_histogram(vf.party(1), E.sealed(vf.data, named, pub), list(named), pub), list(named), sec)
+    return got.select("feature_id", "x", "n", F.round("g", 6).alias("g"), F.round("h", 6).alias("h"), F.col("c0").cast("long").alias("c0"), F.col("c1").cast("long").alias("c1"))
+
+
 @query("gcd_lcm", "SELECT p_partkey, gcd(p_partkey + 1, p_size) AS g, lcm(p_partkey + 1, p_size) AS l FROM part")
 def gcd_lcm(spark, d):
     from veilgrove.functions import numbers as N
@@ -196,11 +218,11 @@ def gcd_lcm(spark, d):
     return df.select("p_partkey", N.gcd_udf("a", F.col("p_size").cast("long")).alias("g"), N.lcm_udf("a", F.col("p_size").cast("long")).alias("l"))
 
 
-@query("modpow", "WITH RECURSIVE r(k, i, v) AS (SELECT p_partkey, 0, 1::BIGINT FROM part WHERE p_partkey < 300 UNION ALL SELECT k, i + 1, v * (k % 97) % 1009 FROM r WHERE i < 13) SELECT k AS p_partkey, v FROM r WHERE i = 13")
+@query("modpow", "WITH RECURSIVE r(k, i, v) AS (SELECT p_partkey, 0, 1::BIGINT FROM part UNION ALL SELECT k, i + 1, v * (k % 97) % 1009 FROM r WHERE i < 13) SELECT k AS p_partkey, v FROM r WHERE i = 13")
 def modpow(spark, d):
     from veilgrove.functions import numbers as N
 
-    df = spark.read.parquet(f"{d}/part.parquet").where("p_partkey < 300")
+    df = spark.read.parquet(f"{d}/part.parquet")
     return df.select("p_partkey", N.modpow_udf(F.col("p_partkey") % 97, F.lit(13).cast("long"), F.lit(1009).cast("long")).alias("v"))
 
 
@@ -211,11 +233,11 @@ def miller_rabin(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", N.is_prime_udf("p_partkey").alias("prime"))
 
 
-@query("mod_inverse", "SELECT p_partkey, (SELECT coalesce(min(x), 0) FROM range(1, 101) t(x) WHERE (p_partkey % 101) * x % 101 = 1) AS inverse FROM part WHERE p_partkey < 400")
+@query("mod_inverse", "SELECT p_partkey, (SELECT coalesce(min(x), 0) FROM range(1, 101) t(x) WHERE (p_partkey % 101) * x % 101 = 1) AS inverse FROM part")
 def mod_inverse(spark, d):
     from veilgrove.functions import numbers as N
 
-    return spark.read.parquet(f"{d}/part.parquet").where("p_partkey < 400").select("p_partkey", N.inverse_udf("p_partkey", F.lit(101).cast("long")).alias("inverse"))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", N.inverse_udf("p_partkey", F.lit(101).cast("long")).alias("inverse"))
 
 
 # -- clustering ---------------------------------------------------------------------------------------

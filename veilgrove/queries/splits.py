@@ -103,9 +103,9 @@ def xgb_histogram(spark, d):
     return xgb_hist(spark, d).withColumnsRenamed({"g0": "g", "h0": "h"})
 
 
-@query("xgb_gain", f"WITH {sql.XGB} SELECT party_id, feature_id, x, score FROM scored WHERE feature_id <> 1")
+@query("xgb_gain", f"WITH {sql.XGB} SELECT party_id, feature_id, x, score FROM scored")
 def xgb_gain(spark, d):
-    return xgb_scored(spark, d).where("feature_id <> 1").select(*KEYS, "x", "score")
+    return xgb_scored(spark, d).select(*KEYS, "x", "score")
 
 
 @query("xgb_best_split", f"WITH {sql.XGB} SELECT party_id, feature_id, x, score FROM scored ORDER BY score DESC, party_id, feature_id, x LIMIT 1")
