@@ -194,7 +194,7 @@ def _level(data: DataFrame, model: Model, open_nodes: list[Node], outputs: int)
     if p.mi_bound is not None:
         root = model.nodes[open_nodes[0].tree, 1]
         run = run.where((F.col("party") == p.active_party) | (lmir_ok(lc, root.counts, p.mi_bound) & lmir_ok([a - b for a, b in zip(ac, lc, strict=True)], root.counts, p.mi_bound)))
-    scored = run.withColumn("score", F.round(score, 12)).where(F.col("score") > p.min_gain)
+    scored = run.withColumn("score", F.round(score, 9)).where(F.col("score") > p.min_gain)
     keep = ["party", "feature", "x", "missing_left", *[f"l_{c}" for c in cols]]
     return [r.asDict() for r in P.best(scored, ["tree", "node"], ["party", "feature", "missing_left", "x"], keep).collect()]
 

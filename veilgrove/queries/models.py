@@ -52,10 +52,10 @@ def train_prediction(spark, d):
     return placed.join(F.broadcast(ratio), "node").select("row_id", "p")
 
 
-_ROOT = sql.SCORED + ", b AS (SELECT feature_id, x FROM scored ORDER BY score DESC, party_id, feature_id, x LIMIT 1), side AS (SELECT c.row_id, c.x <= b.x AS l FROM cells c JOIN b USING (feature_id))"
+_ROOT = sql.SCORED + ", b AS (SELECT feature_id, x FROM scored ORDER BY score DESC, party_id, feature_id, x LIMIT 1), j AS (SELECT c.y, c.x <= b.x AS l FROM cells c JOIN b USING (feature_id))"
 
 
-@query("forest_fit", f"WITH {_ROOT}, j AS (SELECT li.y, l FROM li JOIN side USING (row_id)) SELECT CASE WHEN l THEN 2 ELSE 3 END AS node, count(*) AS n, round(avg((y = 0)::INT), 9) AS p0, round(avg((y = 1)::INT), 9) AS p1, round(avg((y = 2)::INT), 9) AS p2 FROM j GROUP BY ALL")
+@query("forest_fit", f"WITH {_ROOT} SELECT CASE WHEN l THEN 2 ELSE 3 END AS node, count(*) AS n, round(avg((y = 0)::INT), 9) AS p0, round(avg((y = 1)::INT), 9) AS p1, round(avg((y = 2)::INT), 9) AS p2 FROM j GROUP BY ALL")
 def forest_fit(spark, d):
     m = G.fit_forest(VF.lineitem(spark, d), G.Params(trees=1, depth=1))
     return spark.createDataFrame([(x.node, x.n, *[round(v, 9) for v in x.value]) for x in m.nodes.values() if x.leaf], "node int, n long, p0 double, p1 double, p2 double")
@@ -193,7 +193,8 @@ def paillier_scale_add(spark, d):
 
 
 _SEALED = (
-    f"WITH {sql.CELLS} SELECT feature_id, x, count(*) AS n, round(sum(0.5 - y2)::DOUBLE, 6) AS g, round(sum(0.25)::DOUBLE, 6) AS h, sum((y2 = 0)::INT)::BIGINT AS c0, sum((y2 = 1)::INT)::BIGINT AS c1 FROM cells WHERE party_id = 1 GROUP BY ALL"
+    "WITH ev AS (SELECT (event_type = 'error')::INT AS y2, hour(ts)::DOUBLE AS h, user_id::DOUBLE AS u FROM events), cells AS (SELECT y2, 1 AS feature_id, h AS x FROM ev UNION ALL SELECT y2, 2, u FROM ev) "
+    "SELECT feature_id, x, count(*) AS n, round(sum(0.5 - y2)::DOUBLE, 6) AS g, round(sum(0.25)::DOUBLE, 6) AS h, sum((y2 = 0)::INT)::BIGINT AS c0, sum((y2 = 1)::INT)::BIGINT AS c1 FROM cells GROUP BY ALL"
 )
 
 
@@ -202,7 +203,8 @@ def secure_histogram(spark, d):
     from veilgrove.functions import paillier as H
     from veilgrove.plans import secure as E
 
-    vf = lineitem2(spark, d)
+    vf = VF.events(spark, d)
+    vf = vf._replace(data=vf.data.withColumn("y", (F.col("y") == 1).cast("int")), num_classes=2)
     p = S.sigmoid(F.lit(0.0))
     named = {"g": S.bce_gradient(F.col("y"), p), "h": S.bce_hessian(p), "c0": (F.col("y") == 0).cast("double"), "c1": (F.col("y") == 1).cast("double")}
     pub, sec = H.keypair(KEY_BITS, seed=5)

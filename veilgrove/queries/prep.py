@@ -79,9 +79,9 @@ def nan_fill(spark, d):
 _ORDER = "(doc_id * 7919 + 3) % 1000, doc_id"
 
 
-@query("balanced_sample", f"SELECT doc_id, quality FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY {_ORDER}) AS r FROM labels) WHERE r <= 15")
+@query("balanced_sample", f"SELECT doc_id, quality FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY {_ORDER}) AS r FROM labels) WHERE r <= 8")
 def balanced(spark, d):
-    return P.balanced_sample(t(spark, d, "labels").select("doc_id", "quality"), "quality", 30, [P.spread(F.col("doc_id"), 3), F.col("doc_id")])
+    return P.balanced_sample(t(spark, d, "labels").select("doc_id", "quality"), "quality", 16, [P.spread(F.col("doc_id"), 3), F.col("doc_id")])
 
 
 @query("uniform_sample", f"SELECT doc_id FROM labels ORDER BY {_ORDER} LIMIT 50")
