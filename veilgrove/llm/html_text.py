@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgrove.llm.common import cut, ddl
+from veilgrove.llm.common import bounded_batches, cut, ddl
 
 # -- markup -------------------------------------------------------------------------------
 _MARK = re.compile(
@@ -250,6 +250,7 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
                     total[host, path] = total.get((host, path), 0.0) + round(score, 6)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array([round(v * 1e6) for v in total.values()], pa.int64())], names=["_host", "_path", "votes"])
 
+    bounded_batches(pages.sparkSession)
     src = with_host(pages, url_col).select("_host", F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
     tally = src.mapInArrow(vote, "_host string, _path string, votes bigint").groupBy("_host", "_path").agg(F.sum("votes").alias("votes"))
     return tally.groupBy("_host").agg(F.min(F.struct(-F.col("votes"), "_path"))["_path"].alias("_path"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgrove.llm.common import cut, ddl
+from veilgrove.llm.common import bounded_batches, cut, ddl
 from veilgrove.llm.rules import STOP_WORDS
 
 #: Labelled rows to fit on, at most; words of the lexicon, at most.
@@ -135,6 +135,7 @@ def lexicon(rows: DataFrame, size: int = LEXICON, support: float = 0.02, odds: f
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Both heads from at most ``sample`` labelled rows; what reaches the driver is bounded by it."""
+    bounded_batches(docs.sparkSession)
     rows = _labelled(docs, labels, id_col, text_col, quality_col, toxic_col, sample)
     words = lexicon(rows)
 
@@ -160,6 +161,7 @@ def _both(text: str, words: frozenset[bytes]) -> list[float]:
 def evidence(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and doc_prob, toxic_prob of each row by itself."""
     docs = docs.drop("doc_prob", "toxic_prob")
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(FEATURES)
