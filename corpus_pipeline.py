@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrove.llm import bpe, decontaminate, line_dedup, quality, simhash
+from veilgrove.llm import bpe, decontaminate, line_dedup, near_copies, quality
 from veilgrove.llm.common import cut, stored, table
 
 #: Contaminated ids that may be broadcast; more are joined by a shuffle.
@@ -32,8 +32,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, that with the smallest id; of rows with that id, one."""
-    found = simhash.near_duplicates(docs)
+    """One document of each component of near copies, that with the smallest id; of rows with that id, one."""
+    found = near_copies.near_copies(docs)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 

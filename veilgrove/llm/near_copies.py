@@ -1,0 +1,157 @@
+"""Near copies: documents whose sets of five-word shingles have Jaccard similarity ``THRESHOLD`` or more.
+
+Words are runs of anything but the six ASCII blanks, with A-Z as a-z; a text of
+fewer than ``SHINGLE`` words has one shingle, the words themselves.
+
+1. Equal sets are collapsed.  Each distinct one gets ``BANDS`` keys of ``ROWS``
+   min-hashes.  A pair at similarity s shares none with a chance of
+   (1 - s ** ROWS) ** BANDS, which is 1e-10 at 0.8 and less above; so nothing is
+   lost to a radius.
+2. Under each key all sets are held against one of them, which is linear in the
+   group and settles groups of copies.
+3. Under keys whose sets are not yet of one component, all pairs from different
+   components are held against each other.
+4. Every pair is verified on the whole shingle sets, which are made again from
+   the texts of the rows that have a candidate.  Components are those of the
+   verified links.
+
+Shingles and sets are compared by 64-bit hashes.
+
+Defined cases: a null text is the empty one; all texts without a word are copies
+of each other; equal rows are returned as often as they come; a null id counts
+for nothing in the choice of the smallest id; an empty table gives no rows;
+other columns are not read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from veilgrove.llm.common import bounded_batches, cut, ddl, text_or_empty
+from veilgrove.llm.line_dedup import _mix, chunks, word_hashes
+from veilgrove.llm.simhash import components
+
+SHINGLE, THRESHOLD = 5, (4, 5)
+BANDS, ROWS = 32, 3
+#: Rows with a candidate whose ids may be broadcast.
+BROADCAST_IDS = 500_000
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
+_R = np.uint64(0x9E3779B97F4A7C15)
+_SALT = np.random.default_rng(20240301).integers(1, 2**63, (BANDS * ROWS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_sets(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First row, last row, distinct shingles sorted by row, and the row (from the first) of each; rows without a word have none."""
+    for at, to, raw, starts, _, number in chunks(batch, text_col):
+        word, row = word_hashes(_LOW[raw], starts[number == 0])
+        n = np.bincount(row, minlength=to - at)
+        first = np.cumsum(n) - n
+        many = np.minimum(n, SHINGLE)[row]
+        place = np.arange(len(word)) - first[row]
+        head = np.flatnonzero(place + many <= n[row])
+        h = many[head].astype(np.uint64)
+        for k in range(SHINGLE):
+            next_word = word[np.minimum(head + k, len(word) - 1)]
+            h = np.where(k < many[head], h * _R + next_word, h)
+        h, row = _mix(h, 7), row[head]
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        keep = np.ones(len(h), bool)
+        keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        yield at, to, h[keep], row[keep]
+
+
+def _nodes(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row: shingles and the set's key; and the rows with a word, and where their shingles begin."""
+    n = np.bincount(row, minlength=rows)
+    full = np.flatnonzero(n)
+    edge = (np.cumsum(n) - n)[full]
+    node = np.zeros(rows, np.uint64)
+    if len(full):
+        node[full] = _mix(np.add.reduceat(_mix(h, 8), edge) + n[full].astype(np.uint64), 9)
+    return n, node, full, edge
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, node (the key of the shingle set), n (its size), keys (of the bands, the band's number within)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, to, h, row in shingle_sets(b, text_col):
+                n, node, full, edge = _nodes(h, row, to - at)
+                keys = np.zeros((to - at, BANDS), np.uint64)
+                for k in range(BANDS if len(full) else 0):
+                    own = np.full(len(full), k, np.uint64)
+                    for x, y in _SALT[k * ROWS : (k + 1) * ROWS]:
+                        own = _mix(own * _R + np.minimum.reduceat((h ^ x) * y, edge))
+                    keys[full, k] = own
+                bounds = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys[full].reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(id_col).slice(at, to - at), pa.array(node.view(np.int64)), pa.array(n.astype(np.int32)), lists], names=[id_col, "node", "n", "keys"])
+
+    bounded_batches(docs.sparkSession)
+    return text_or_empty(docs, id_col, text_col).mapInArrow(run, f"{ddl(docs, id_col)}, node bigint, n int, keys array<bigint>")
+
+
+def whole_sets(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, shingles of the sets of the ids in ``rows``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, to, h, row in shingle_sets(b, text_col):
+                n, node, _, _ = _nodes(h, row, to - at)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), lists], names=["node", "shingles"])
+
+    wanted = rows.select(F.col(id_col).alias("_id"))
+    wanted = F.broadcast(wanted) if rows.count() <= BROADCAST_IDS else wanted
+    own = text_or_empty(docs, id_col, text_col).join(wanted, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    return own.select(text_col).mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """src, dst: those of ``pairs`` whose shingle sets are similar."""
+    a, b = THRESHOLD
+    wanted = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+    rows = cut(sets.select("node", F.col("_first").alias(id_col)).join(wanted, "node").select(id_col).distinct())
+    got = cut(whole_sets(docs, rows, id_col, text_col))
+    x = got.select(F.col("node").alias("src"), F.col("shingles").alias("x"))
+    y = got.select(F.col("node").alias("dst"), F.col("shingles").alias("y"))
+    both = pairs.join(x, "src").join(y, "dst")
+    return both.where((a + b) * F.size(F.array_intersect("x", "y")) >= a * (F.size("x") + F.size("y"))).select("src", "dst")
+
+
+def _length(x: str, y: str) -> str:
+    a, b = THRESHOLD
+    return f"{b} * least({x}, {y}) >= {a} * greatest({x}, {y})"
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, node, component_id: the smallest id that links lead to, the row's own included."""
+    own = cut(sketches(docs, id_col, text_col))
+    sets = own.groupBy("node").agg(F.min(id_col).alias("_first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    keyed = sets.select("node", "n", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("_c")).where("_c > 1").select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"))
+    held = cut(keyed.join(shared, "key"))
+    stars = cut(held.where("node <> pivot").where(_length("n", "pn")).select(F.col("node").alias("src"), F.col("pivot").alias("dst")).distinct())
+    links = cut(verified(stars, docs, sets, id_col, text_col))
+
+    root = components(links)
+    placed = cut(held.select("key", "node", "n").join(root, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("comp")))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    rest = placed.join(mixed, "key")
+    x, y = rest.alias("x"), rest.alias("y")
+    pairs = x.join(y, F.col("x.key") == F.col("y.key")).where("x.node > y.node AND x.comp <> y.comp").where(_length("x.n", "y.n"))
+    pairs = cut(pairs.select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")).distinct().join(stars, ["src", "dst"], "left_anti"))
+    if not pairs.isEmpty():
+        root = components(links.unionByName(verified(pairs, docs, sets, id_col, text_col)))
+
+    rooted = sets.select("node", "_first").join(root, "node", "left").select("node", "_first", F.coalesce("root", "node").alias("_root"))
+    label = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
+    return own.select(id_col, "node").join(rooted.join(label, "_root").select("node", "component_id"), "node").select(id_col, "node", "component_id")
