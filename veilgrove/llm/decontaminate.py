@@ -1,14 +1,20 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names inside sentences, and units after numbers become typed
-placeholders; case and punctuation go.  Windows of ``WINDOW`` canonical tokens
-are hashed on both sides and joined.  Matches on one diagonal (the same distance
-between the place in the document and that in the item) are one occurrence of
-the item; it counts if its slots are consistent: every value of the item's slots
-is replaced by one value throughout.  So a question with other numbers is
-caught, and a text that only shares the frame, with values at odds, is not.  A
-document holds an item if the item's windows in its consistent occurrences are
-at least ``COVERAGE`` of all of them.
+placeholders; case and punctuation go.  Where a text has names it is read in up
+to three ways: so; with names as plain words, which finds a copy in any case;
+and with capitalised words typed wherever the same word is a name elsewhere in
+the text, which finds names that open a sentence.  Windows of ``WINDOW``
+canonical tokens of all readings are hashed on both sides and joined.  Matches
+on one diagonal (the same distance between the place in the document and that in
+the item) are one occurrence of the item.  Every value of the item's slots should
+be replaced by one value throughout: if one is not although it stands in the
+same context (a number before the same word, a unit after the same number, a
+name), the occurrence does not count; if only its contexts differ, as of equal
+numbers of two things, the windows that hold it do not.  So a question with other
+numbers is caught, and a text that only shares the frame, with values at odds, is
+not.  A document holds an item if the item's windows that count are at least
+``COVERAGE`` of all of them.
 
 The benchmark's windows are broadcast only if they are no more than
 ``BROADCAST_WINDOWS``; beyond, both sides are shuffled by hash.  Only built-in
@@ -41,6 +47,7 @@ UNITS = (
 _UNIT = "(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{M}\p{N}])"
 NUMBER_PATTERN = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])[0-9]++(?:[.,:/][0-9]++)*+(?=(?i:{_UNIT})|(?![\p{{L}}\p{{M}}\p{{N}}]))"
 NAME_PATTERN = r"(?<=[\p{Ll},;:] )\p{Lu}\p{Ll}++(?![\p{L}\p{M}\p{N}])"
+CAPITAL = r"^\p{Lu}\p{Ll}+$"
 WORD_PATTERN = rf"{NUMBER_PATTERN}|[\p{{L}}\p{{M}}\p{{N}}]++"
 
 
@@ -60,31 +67,70 @@ def canonical(df: DataFrame, text_col: str) -> DataFrame:
     return d.drop("_t", "_n", "_a")
 
 
-def _slots(at: Column, size: int) -> Column:
-    """The values in the placeholders of the window from ``at`` (0 first), each with its type; null where the text has none."""
-    marked = [F.when(F.col("_tok")[at + k].isin(NUMBER, NAME, UNIT), F.concat(F.col("_tok")[at + k], F.lower(F.col("_val")[at + k]))) for k in range(size)]
-    return F.when(F.col("_val").isNotNull() & (F.size("_val") == F.size("_tok")), F.filter(F.array(*marked), lambda x: x.isNotNull()))
+def readings(df: DataFrame) -> DataFrame:
+    """Adds ``_low`` (the canonical tokens with names as the lower-case words they are) and ``_typed`` (with names also where a
+    capitalised word, such as a sentence's first, is a name elsewhere in the text); null where there is no such difference.
+    """
+    both = F.when(F.col("_val").isNotNull() & (F.size("_val") == F.size("_tok")) & F.array_contains("_tok", NAME), F.arrays_zip("_tok", "_val"))
+    d = df.withColumn("_both", both)
+    names = F.transform(F.filter("_both", lambda x: x["_tok"] == NAME), lambda x: F.lower(x["_val"]))
+    capitals = F.transform(F.filter("_both", lambda x: ~x["_tok"].isin(NUMBER, NAME, UNIT) & x["_val"].rlike(CAPITAL)), lambda x: x["_tok"])
+    d = d.withColumn("_more", F.array_intersect(names, capitals))
+    d = d.withColumn("_low", F.transform("_both", lambda x: F.when(x["_tok"] == NAME, F.lower(x["_val"])).otherwise(x["_tok"])))
+    typed = F.transform("_both", lambda x: F.when(F.array_contains(F.col("_more"), x["_tok"]) & x["_val"].rlike(CAPITAL), NAME).otherwise(x["_tok"]))
+    return d.withColumn("_typed", F.when(F.size("_more") > 0, typed)).drop("_both", "_more")
+
+
+def _slots(tok: str, at: Column, size: int, context: bool) -> Column:
+    """The values in the placeholders of the window from ``at`` (0 first), each with its type; null where the text has none.
+
+    With ``context``, each is a struct with the word that tells equal values
+    apart: the one after a number, the one before a unit, none for a name.
+    """
+
+    def marked(k: int) -> Column:
+        own = F.col(tok)[at + k]
+        value = F.concat(own, F.lower(F.col("_val")[at + k]))
+        if context:
+            near = F.when(own == NUMBER, F.lower(F.get("_val", at + k + 1))).when(own == UNIT, F.lower(F.get("_val", at + k - 1)))
+            value = F.struct(value.alias("value"), F.coalesce(near, F.lit("")).alias("context"))
+        return F.when(own.isin(NUMBER, NAME, UNIT), value)
 
+    return F.when(F.col("_val").isNotNull() & (F.size("_val") == F.size("_tok")), F.filter(F.array(*map(marked, range(size))), lambda x: x.isNotNull()))
 
-def windows(df: DataFrame, keep: list[str], size: int) -> DataFrame:
-    """``keep``, place, hash, slots of every window of ``size`` tokens.
+
+def windows(df: DataFrame, keep: list[str], size: int, context: bool = False) -> DataFrame:
+    """``keep``, place, hash, slots of every window of ``size`` tokens, in each reading that differs there.
 
     Elements are taken one by one, since slice() copies the whole array each
     time; and the arrays are exploded as outer ones, since the optimiser infers
     a filter from others that would compute all windows a second time.
     """
-    hashed = df.select(*keep, "_tok", "_val", F.transform("_tok", lambda x: F.xxhash64(x)).alias("_th"))
-    at = F.sequence(F.lit(0), F.size("_th") - size)
-    each = F.when(F.size("_th") >= size, F.transform(at, lambda i: F.struct(F.xxhash64(*[F.col("_th")[i + k] for k in range(size)]).alias("hash"), _slots(i, size).alias("slots"))))
-    return hashed.select(*keep, each.alias("_w")).select(*keep, F.posexplode_outer("_w").alias("place", "_w")).select(*keep, "place", "_w.hash", "_w.slots")
+    hashes = {t: f"{t}_h" for t in ("_tok", "_low", "_typed")}
+    hashed = df.select(*keep, *hashes, "_val", *[F.transform(t, lambda x: F.xxhash64(x)).alias(h) for t, h in hashes.items()])
+    at = F.sequence(F.lit(0), F.size("_tok_h") - size)
+
+    def window(t: str, i: Column) -> Column:
+        return F.struct(i.alias("place"), _hash(t, i).alias("hash"), _slots(t, i, size, context).alias("slots"))
+
+    def _hash(t: str, i: Column) -> Column:
+        return F.xxhash64(*[F.col(hashes[t])[i + k] for k in range(size)])
+
+    def others(t: str) -> Column:
+        return F.transform(F.filter(at, lambda i: _hash(t, i) != _hash("_tok", i)), lambda i: window(t, i))
+
+    one = F.transform(at, lambda i: window("_tok", i))
+    each = F.when(F.col("_low").isNull(), one).when(F.col("_typed").isNull(), F.concat(one, others("_low"))).otherwise(F.concat(one, others("_low"), others("_typed")))
+    each = F.when(F.size("_tok_h") >= size, each)
+    return hashed.select(*keep, each.alias("_w")).select(*keep, F.explode_outer("_w").alias("_w")).select(*keep, "_w.place", "_w.hash", "_w.slots")
 
 
 def _benchmark(bench: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, list[int]]:
     """Windows of all items, and the sizes of windows that there are (at most four)."""
     tok = canonical(text_or_empty(bench, item_col, text_col).select(F.col(item_col).alias("item"), F.col(text_col).alias("_text")), "_text").drop("_text")
-    tok = tok.withColumn("size", F.least(F.size("_tok"), F.lit(WINDOW))).where(F.col("size") >= SHORTEST)
+    tok = readings(tok).withColumn("size", F.least(F.size("_tok"), F.lit(WINDOW))).where(F.col("size") >= SHORTEST)
     tok = tok.withColumn("n_windows", F.size("_tok") - F.col("size") + 1)
-    parts = [windows(tok.where(F.col("size") == k), ["item", "size", "n_windows"], k) for k in range(SHORTEST, WINDOW + 1)]
+    parts = [windows(tok.where(F.col("size") == k), ["item", "size", "n_windows"], k, True) for k in range(SHORTEST, WINDOW + 1)]
     all_of = parts[0]
     for p in parts[1:]:
         all_of = all_of.unionByName(p)
@@ -97,7 +143,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     known, sizes = _benchmark(bench, item_col, item_text_col)
     if known.count() <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
-    tok = canonical(text_or_empty(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), "_text").drop("_text")
+    tok = readings(canonical(text_or_empty(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), "_text").drop("_text"))
     found = None
     for size in sizes or [WINDOW]:
         own = windows(tok, ["id"], size)
@@ -105,8 +151,16 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
         hit = hit.select("id", "item", "n_windows", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal"), "item_slots", "slots")
         found = hit if found is None else found.unionByName(hit)
     pairs = F.when(F.size("item_slots") > 0, F.arrays_zip("item_slots", "slots"))
-    once = found.groupBy("id", "item", "n_windows", "diagonal").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+    once = found.groupBy("id", "item", "n_windows", "diagonal").agg(F.collect_set(F.struct(F.col("item_place").alias("place"), pairs.alias("pairs"))).alias("found"))
+    once = once.withColumn("pairs", F.array_distinct(F.flatten(F.filter(F.transform("found", lambda w: w["pairs"]), lambda p: p.isNotNull()))))
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"]))) == F.size("pairs")
-    same = F.forall("pairs", lambda p: p["item_slots"] == p["slots"])
-    held = once.where(consistent).groupBy("id", "item", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_matched"), F.bool_and(same).alias("same_values"))
+    once = once.where(consistent).withColumn("values", F.array_distinct(F.transform("pairs", lambda p: F.struct(p["item_slots"]["value"].alias("item"), p["slots"].alias("doc")))))
+    items = F.array_distinct(F.transform("values", lambda v: v["item"]))
+    odd = F.when(F.size(items) < F.size("values"), F.filter(items, lambda x: F.size(F.filter("values", lambda v: v["item"] == x)) > 1))
+    once = once.withColumn("odd", odd)
+    left = F.filter("found", lambda w: ~F.coalesce(F.exists(w["pairs"], lambda p: F.array_contains(F.col("odd"), p["item_slots"]["value"])), F.lit(False)))
+    once = once.withColumn("found", F.when(F.col("odd").isNull(), F.col("found")).otherwise(left)).where(F.size("found") > 0)
+    same = F.forall("found", lambda w: F.coalesce(F.forall(w["pairs"], lambda p: p["item_slots"]["value"] == p["slots"]), F.lit(True)))
+    places = F.array_distinct(F.transform("found", lambda w: w["place"]))
+    held = once.select("id", "item", "n_windows", places.alias("places"), same.alias("same")).groupBy("id", "item", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_matched"), F.bool_and("same").alias("same_values"))
     return held.where(F.col("n_matched") >= coverage * F.col("n_windows")).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_matched", "n_windows", "same_values")
