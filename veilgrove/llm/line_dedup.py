@@ -2,9 +2,9 @@
 
 A line is the set of its words (runs of anything but the six ASCII blanks).  A
 line is removed if an earlier line, by document id and then by line number, has
-a word set with Jaccard similarity ``THRESHOLD`` (four fifths) or more.  Lines of
-fewer than ``MIN_WORDS`` distinct words say too little across documents: they
-match only an equal set in their own document.  Lines without a word stay.
+a word set with Jaccard similarity ``THRESHOLD`` (four fifths) or more, however
+short it is.  With ``min_words``, which is off by default, lines of fewer distinct
+words match only an equal set in their own document.  Lines without a word stay.
 
 1. Words are counted into a sketch of fixed size over all documents; it orders
    words by rarity, the same way for all, whatever collides in it.
@@ -43,7 +43,8 @@ from pyspark.sql import functions as F
 from veilgrove.llm.common import bounded_batches, cut, ddl, release, stored
 
 THRESHOLD = (4, 5)
-MIN_WORDS = 5
+#: Distinct words below which a line matches only in its own document; none by default.
+MIN_WORDS = 0
 #: Counters of the rarity sketch; rows of a group that is compared in whole; hot keys, unsettled rows, wanted lines and repeated sets that may be broadcast.
 SKETCH, COLD = 1 << 16, 4096
 BROADCAST_KEYS, BROADCAST_ROWS, BROADCAST_LINES, BROADCAST_SETS = 100_000, 200_000, 2_000_000, 500_000
@@ -184,7 +185,7 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - -(-a * n // b) + 1
 
 
-def line_sets(docs: DataFrame, rank: np.ndarray, hot_from: int, id_col: str, text_col: str) -> DataFrame:
+def line_sets(docs: DataFrame, rank: np.ndarray, hot_from: int, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each line with a word: doc, line, n, s1, s2 (the set's 128-bit key), b1, b2 (counts in 32 buckets), prefix, perhaps.
 
     ``perhaps`` is the part of the prefix whose words the sketch counts at rank
@@ -203,7 +204,7 @@ def line_sets(docs: DataFrame, rank: np.ndarray, hot_from: int, id_col: str, tex
                 n = np.diff(np.append(edge, len(o)))
                 doc = ids[at + row[own]]
                 s1, s2 = np.add.reduceat(_mix(o, 1), edge), np.add.reduceat(_mix(o, 2), edge)
-                short = n < MIN_WORDS
+                short = n < min_words
                 s1[short] += _mix(doc[short].view(np.uint64), 3)
                 s2[short] += _mix(doc[short].view(np.uint64), 4)
                 b1, b2 = bucket_counts(o, np.repeat(np.arange(len(n)), n), len(n))
@@ -396,13 +397,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 # -- the whole -------------------------------------------------------------------------------------------
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cold: int = COLD) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cold: int = COLD, min_words: int = MIN_WORDS) -> DataFrame:
     """doc (the null id as the smallest long), line (from 0) of every line to be removed, once each."""
     spark = docs.sparkSession
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rank, counts = rarity(docs, text_col)
-    lines = stored(line_sets(docs, rank, int(np.searchsorted(counts, cold, "right")), id_col, text_col), "lines")
+    lines = stored(line_sets(docs, rank, int(np.searchsorted(counts, cold, "right")), id_col, text_col, min_words), "lines")
     firsts = lines.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line")).alias("f"), F.first("n").alias("n"), F.first("b1").alias("b1"), F.first("b2").alias("b2"), F.first("prefix").alias("prefix"), F.first("perhaps").alias("perhaps"), F.count("*").alias("copies"))
     firsts = stored(firsts.select("s1", "s2", "f.doc", "f.line", "n", "b1", "b2", "prefix", "perhaps", "copies"), "firsts")
     release(spark)
@@ -448,10 +449,10 @@ def _settle(docs: DataFrame, pairs: DataFrame, rank: np.ndarray, id_col: str, te
     return verified(pairs, word_sets(docs, wanted, rank, id_col, text_col)).select("doc", "line").distinct()
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cold: int = COLD) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cold: int = COLD, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of ``docs``, the text without its removed lines, and n_lines, n_removed."""
     docs = docs.drop("n_lines", "n_removed")
-    gone = cut(removed_lines(docs, id_col, text_col, cold))
+    gone = cut(removed_lines(docs, id_col, text_col, cold, min_words))
     release(docs.sparkSession)
     names = docs.columns
     fields = f"{ddl(docs, *names)}, n_lines bigint, n_removed bigint"
