@@ -50,7 +50,7 @@ def nan_sentinel(spark, d):
 
 # -- runs -----------------------------------------------------------------------------------------------
 def _small(spark, d):
-    return VF.embeddings(spark, d, 8)
+    return VF.embeddings(spark, d)
 
 
 @query("forest_adjacency")

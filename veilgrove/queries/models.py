@@ -77,7 +77,7 @@ def nodes_frame(spark: SparkSession, m: G.Model) -> DataFrame:
 
 @query("forest_nodes")
 def forest_nodes(spark, d):
-    return nodes_frame(spark, G.fit_forest(VF.embeddings(spark, d, 8), G.Params(trees=3, depth=3, col_ratio=0.8, row_ratio=0.8, bins=32)))
+    return nodes_frame(spark, G.fit_forest(VF.embeddings(spark, d), G.Params(trees=3, depth=3, col_ratio=0.8, row_ratio=0.8, bins=32)))
 
 
 @query("boosting_nodes")
@@ -246,7 +246,7 @@ def mod_inverse(spark, d):
 def _vectors(spark, d):
     from pyspark.ml.functions import array_to_vector
 
-    return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", array_to_vector(F.slice("embedding", 1, 8).cast("array<double>")).alias("features"))
+    return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
 
 
 @query("kmeans")
