@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +34,13 @@ def _errors(df: DataFrame, centres: list, features: str) -> dict[int, tuple[int,
     return {r.cluster: (r.n, r.e) for r in df.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(err).alias("e")).collect()}
 
 
-def x_means(df: DataFrame, cut: Callable[[DataFrame], DataFrame], features: str = "features", limit: int = 20, seed: int = 0) -> DataFrame:
-    """Clusters are split in two as long as that is the better model; ones of three rows or fewer stay."""
+def x_means(df: DataFrame, cut: Callable[[DataFrame], DataFrame], features: str = "features", limit: int | None = None, seed: int = 0) -> DataFrame:
+    """Clusters are split in two as long as that is the better model, up to ``limit`` if there is one; ones of three rows or fewer stay."""
     done, queue, label = [], [df.withColumn("cluster", F.lit(0)).drop("cluster")], 0
     while queue:
         part = queue.pop(0)
         n = part.count()
-        if n <= 3 or len(done) + len(queue) + 2 > limit:
+        if n <= 3 or (limit is not None and len(done) + len(queue) + 2 > limit):
             done.append(part.withColumn("cluster", F.lit(label)))
             label += 1
             continue
@@ -47,8 +48,8 @@ def x_means(df: DataFrame, cut: Callable[[DataFrame], DataFrame], features: str
         split = cut(model.transform(part))
         dims = len(model.clusterCenters()[0])
         two = _errors(split, model.clusterCenters(), features)
-        mean = KMeans(k=1, seed=seed, featuresCol=features, predictionCol="cluster").fit(part)
-        one = _errors(part.withColumn("cluster", F.lit(0)), mean.clusterCenters(), features)
+        mean = part.select(Summarizer.mean(F.col(features)).alias("m")).first().m
+        one = _errors(part.withColumn("cluster", F.lit(0)), [mean], features)
         better = len(two) == 2 and _bic(n, dims, [e for _, e in two.values()], [s for s, _ in two.values()]) > _bic(n, dims, [one[0][1]], [n])
         if better:
             queue += [split.where(F.col("cluster") == k).drop("cluster") for k in (0, 1)]

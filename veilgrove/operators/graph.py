@@ -143,10 +143,11 @@ def contract(edges: DataFrame, comm: DataFrame) -> DataFrame:
     return e.groupBy(F.greatest("c1", "c2").alias("src"), F.least("c1", "c2").alias("dst")).agg(F.sum(w).alias("w"))
 
 
-def louvain(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], levels: int = 20, sweeps: int = 12, tolerance: float = 1e-7) -> DataFrame:
+def louvain(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], levels: int = 100, sweeps: int = 1000, tolerance: float = 1e-7) -> DataFrame:
     """node, comm: sweeps until nothing is gained, contraction, and again; ends also at two communities.
 
-    A sweep that lowers modularity is undone, so it never falls.
+    A sweep that lowers modularity is undone, so it never falls.  ``levels`` and
+    ``sweeps`` are safety bounds: reaching one raises an error.
     """
     e = cut(edges.select("src", "dst", F.col("w").cast("double").alias("w")))
     nodes = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
@@ -164,10 +165,14 @@ def louvain(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], levels: int
                     break
                 continue
             comm, q, still = nxt, new, 0
+        else:
+            raise RuntimeError(f"louvain: still gaining after {sweeps} sweeps of a level")
         if q is None or q <= begun + tolerance:
             break
         whole = cut(whole.join(comm.select(F.col("node").alias("comm"), F.col("comm").alias("_to")), "comm").select("node", F.col("_to").alias("comm")))
         e = cut(contract(e, comm))
         if comm.select("comm").distinct().count() == 2:
             break
+    else:
+        raise RuntimeError(f"louvain: still gaining after {levels} levels")
     return whole

@@ -152,7 +152,7 @@ def louvain_one_pass(spark, d):
 
 @query("louvain")
 def louvain(spark, d):
-    return G.louvain(edges(spark, d), cut, levels=2, sweeps=4)
+    return G.louvain(edges(spark, d), cut)
 
 
 # -- clusterings -----------------------------------------------------------------------------------

@@ -260,7 +260,7 @@ def kmeans(spark, d):
 def xmeans(spark, d):
     from veilgrove.operators import cluster as C
 
-    return C.x_means(_vectors(spark, d), cut, limit=8, seed=42).select("vec_id", "cluster")
+    return C.x_means(_vectors(spark, d), cut, seed=42).select("vec_id", "cluster")
 
 
 @query("ssemeans")
