@@ -60,3 +60,78 @@ def test_any_markup_is_read(seed):
     page = "".join(rng.choice(bits) for _ in range(300))
     text = H.extract(page, None)
     assert text == "\n".join(" ".join(x.split()) for x in text.split("\n"))
+
+
+@pytest.mark.parametrize("name", ["share-post", "sidebar-content", "newsletter-body", "post-nav", "entry-footer", "ad-container", "comments-content", "cookie-notice-page"])
+def test_parts_in_an_article_stay_out_by_any_word(name):
+    page = f"<body><article class='post'><p>Real text of the article.</p><div class='{name}'><p>Not the article.</p></div><p>More of it.</p></article></body>"
+    assert H.extract(page, None) == "Real text of the article.\nMore of it."
+
+
+@pytest.mark.parametrize("attr", ["class='content has-sidebar'", "class='layout with-sidebar'", "class='no-ads'", "class='sidebar-right' id='main-content'", "class='page'"])
+def test_content_stays(attr):
+    assert H.extract(f"<body><div {attr}><p>Real text of the page.</p></div></body>", None) == "Real text of the page."
+
+
+def made_page(rng, n):
+    """A page, and the text of its article as the maker knows it."""
+    words = lambda a, b: " ".join(rng.choice("river stone bird wind moon tree road song night day".split()) for _ in range(rng.randint(a, b)))
+    entity = lambda t: t.replace(" bird ", rng.choice([" b&iuml;rd ", " &#98;ird ", " bird&nbsp;"]), 1)
+    body, want = "", []
+
+    def block(tag, text):
+        nonlocal body
+        shown = entity(text)
+        want.append(" ".join(__import__("html").unescape(shown).split()))
+        inner = shown.replace(" moon ", rng.choice([" <b>moon</b> ", " <a href='/m?a=1&b=>'>moon</a> ", "\n\tmoon  "]), 1)
+        body += f"<{tag}>{inner}" + (f"</{tag}>" if tag != "p" or rng.random() < 0.6 else "")
+
+    block("h1", words(3, 6))
+    for _ in range(rng.randint(3, 9)):
+        kind = rng.randrange(7)
+        if kind < 4:
+            block("p", words(10, 40))
+        elif kind == 4:
+            body += "<ul>"
+            for _ in range(rng.randint(1, 3)):
+                block("li", words(3, 8))
+            body += "</ul>"
+        elif kind == 5:
+            body += rng.choice(["<div class='advert-box'><p>Buy " + words(3, 9) + "</p></div>", "<aside>" + words(3, 9) + "</aside>", "<script>if (a<b) { '</p>' }</script>", "<!-- <p>" + words(2, 4) + " -->", "<form><input> " + words(2, 4) + "</form>", "<style>p > a {}</style>"])
+        else:
+            block("blockquote", words(8, 20))
+    around = "".join(f"<li><a href='/{k}'>{words(1, 3)}</a></li>" for k in range(6))
+    page = f"<!doctype html><html><head><title>{words(2, 4)}</title></head><body><header class='top'><a href='/'>{words(1, 2)}</a></header><nav><ul>{around}</ul></nav>"
+    page += f"<div class='wrap{n}'><div class='column main-text'>{body}</div><div class='rail'><ul>{around}</ul></div><div id='comments'><p>{words(30, 80)}</p></div></div><footer>{words(3, 8)}</footer></body></html>"
+    return page, "\n".join(want)
+
+
+def test_whole_tables_against_the_makers_text(spark):
+    rng = random.Random(12)
+    made = [made_page(rng, n) for n in range(120)]
+    rows = [(n, f"https://h{n % 4}.example/{n}", page) for n, (page, _) in enumerate(made)]
+    rows += [(1000 + n, u, p) for n, u, p in rows[:10]]  # repeated rows
+    got = {r.page_id: r for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for n, (_, want) in enumerate(made):
+        assert got[n].text == want and got[n].n_chars == len(want)
+    assert all(got[1000 + n].text == got[n].text for n in range(10))
+
+
+def test_the_first_path_in_order_wins_of_equal_votes(spark):
+    pages = [(1, "http://h.example/", "<div class='b'><p>same words</p></div>"), (2, "http://h.example/", "<div class='a'><p>same words</p></div>")]
+    got = H.host_paths(spark.createDataFrame(pages, "page_id long, url string, html string")).first()
+    assert got._path == "html>div.a"
+
+
+@pytest.mark.parametrize("bit", ["<a href=\"x>word ", "<div><span>x", "<p>x</b></i></li>", "< a <b <c", "<script>", "<a \"b\" c=\"d>x</a>", "<!-- ", "</"])
+def test_broken_pages_take_time_in_proportion(bit):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        H.extract(bit * n, None)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(16_000) < 12 * took(4000) + 0.2
