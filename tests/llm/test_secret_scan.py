@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from tests.llm import heldout
 from veilgrove.llm import secret_scan as S
 
 
@@ -43,7 +44,7 @@ def test_the_field_on_held_out_sequences():
     for text, spans in S.training_sequences(300, 12345):
         got = {(a, b) for a, _, b in S.field_spans(text, field, shapes)}
         right, found, there = right + len(got & set(spans)), found + len(got), there + len(spans)
-    assert right / found > 0.85 and right / there > 0.7
+    assert right / found > 0.85 and right / there > 0.85
 
 
 def test_viterbi_is_the_best_path():
@@ -91,3 +92,22 @@ def test_redact(spans, want):
 def test_no_rows_and_digest(spark):
     assert S.secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert S.digest("") == hashlib.sha256(b"").hexdigest()
+
+
+def test_recall_and_precision_on_texts_of_another_maker():
+    field, shapes = S.fit(), S._Shapes()
+    there = caught = found = wrong = 0
+    for text, spans in heldout.texts(heldout.secret, heldout.plain_code, 400, 91):
+        own = [(s[0], s[2]) for s in S.scan(text, field, shapes)[1]]
+        for a, b in spans:
+            there += 1
+            caught += len({k for x, y in own for k in range(max(a, x), min(b, y))}) >= 0.8 * (b - a)
+        found += len(own)
+        wrong += sum(not any(a < y and x < b for a, b in spans) for x, y in own)
+    assert caught / there >= 0.9 and wrong / found <= 0.1
+
+
+def test_repeated_rows_and_long_tokens(spark):
+    long = "password = '" + "aB3" * 5000 + "' and words"
+    got = S.secrets(spark.createDataFrame([(1, long), (1, long), (2, None)], "doc_id long, text string")).collect()
+    assert len(got) == 3 and len({r.spans for r in got}) == 2

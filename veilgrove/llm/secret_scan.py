@@ -42,7 +42,8 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _CUE = ("password", "passwd", "secret", "token", "api")
 
 # -- tokens and their shapes --------------------------------------------------------------
-_TOKEN = re.compile(r"[A-Za-z0-9_]+(?:[+/=.-]+[A-Za-z0-9_]+)*=*|[^\sA-Za-z0-9_]")
+#: Words with what joins them inside keys; an equals sign belongs to a token only as padding at its end.
+_TOKEN = re.compile(r"[A-Za-z0-9_]+(?:[+/.-]+[A-Za-z0-9_]+)*(?:[+/]*={1,2}(?![A-Za-z0-9_=\"'+/]))?|[^\sA-Za-z0-9_]")
 _DIGIT = re.compile(r"[0-9]")
 #: Words that announce a secret, and the openings of well-known keys.
 _KEYWORDS = ("passw", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "auth", "bearer", "credential", "private_key", "access_key", "signature")
@@ -88,7 +89,7 @@ def _shape(token: str) -> int:
         on += [f"long_{k}" for k in (8, 16, 20, 32) if n >= k]
         if n >= 8 and -sum(c / n * math.log2(c / n) for c in Counter(token).values()) >= 3.0:
             on.append("varied")
-        kind = ["d" if c in "0123456789" else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in token[:64]]
+        kind = ["d" if c in "0123456789" else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in token]
         if sum(a != b for a, b in zip(kind, kind[1:], strict=False)) >= 4:
             on.append("many_switches")
         if "." in token or "-" in token or "/" in token:
@@ -182,13 +183,14 @@ def training_sequences(n: int = 700, seed: int = 7) -> list[tuple[str, list[tupl
         return run(alnum, 8, 14) + run("0123456789", 2, 4)
 
     def decoy() -> str:
-        kind = rng.randrange(12)
+        kind = rng.randrange(16)
         d = lambda a, b: run("0123456789", a, b)
         return [
             lambda: d(1, 6), lambda: f"{d(4, 4)}-{d(2, 2)}-{d(2, 2)}", lambda: f"{d(1, 3)}.{d(1, 3)}.{d(1, 3)}.{d(1, 3)}", lambda: d(16, 16),
             lambda: f"+1 ({d(3, 3)}) {d(3, 3)}-{d(4, 4)}", lambda: f"{word()}.{d(2, 2)}@mail{d(1, 1)}.example.com", lambda: f"https://{word()}.example.org/{word()}/{d(2, 4)}",
             lambda: f"v{d(1, 1)}.{d(1, 2)}.{d(1, 2)}", lambda: "".join(pick(syllables) for _ in range(8)), lambda: f"{word()}_{d(1, 3)}",
             lambda: pick(["password", "token", "secret", "the key", "auth"]), lambda: f"{word()} = {word()}",
+            lambda: f"{d(2, 2)}:{d(2, 2)}:{d(2, 2)}", lambda: f"{d(4, 4)}-{d(2, 2)}-{d(2, 2)} {pick(['at ', ''])}{d(2, 2)}:{d(2, 2)}:{d(2, 2)}", lambda: f"{word()}({word()}[{d(1, 2)}], {word()}_{d(1, 2)})", lambda: f"{word()}_{d(4, 8)}.{pick(['pdf', 'png', 'txt'])}",
         ][kind]()
 
     style = [""]
@@ -205,10 +207,10 @@ def training_sequences(n: int = 700, seed: int = 7) -> list[tuple[str, list[tupl
             text += " ".join(word() for _ in range(rng.randint(1, 4))) + " "
             if rng.random() < 0.45:
                 s = secret()
-                lead = pick(["password", "PASSWORD", "token", "secret_key", "api_key", "Authorization", "passphrase", "client_secret", "pwd"])
-                form = rng.randrange(5)
+                lead = pick(["password", "PASSWORD", "token", "secret_key", "api_key", "Authorization", "passphrase", "client_secret", "pwd", "ACCESS_TOKEN", "export AUTH_SECRET"])
+                form = rng.randrange(8)
                 weak = len(s) < 19
-                head, tail = [(f"{lead}=", ""), (f'{lead} = "', '"'), (f"{lead}: ", ""), (f"{lead} is ", ""), ("", "")][form % 4 if weak else form]
+                head, tail = [(f"{lead}=", ""), (f'{lead} = "', '"'), (f"{lead}: ", ""), (f"{lead} is ", ""), (f'{{"{lead}": "', '"}'), (f"{lead} = '", "'"), (f"{lead}: Bearer ", ""), ("", "")][form % 6 if weak else form]
                 spans.append((len(text) + len(head), len(text) + len(head) + len(s)))
                 text += head + s + tail + (pick(["***", "###", "%%%", "&&&", "$$$"]) if style[0] == "#" else "!!" if style[0] == "!" else "") + pick([" ", ". ", ", ", "\n", "; "])
             else:
