@@ -90,3 +90,34 @@ def test_many_classes(spark):
     m = G.fit_boosting(vf, G.Params(trees=2, depth=3, rate=0.5))
     got = G.predict(vf, m).collect()
     assert all(max(range(3), key=lambda k: r[f"p{k}"]) == r.y and math.isclose(r.p0 + r.p1 + r.p2, 1) for r in got)
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    rows = [(i, float(i * 7 % 101), float(i * 13 % 97), int((i * 7 % 101) + (i * 13 % 97) * (i % 5) > 150)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label int")
+    return frame(df, F.col("id"), F.col("label"), [[("f0", F.col("a"))], [("f1", F.col("b"))]], 2)
+
+
+def test_row_samples_have_exactly_their_size(many):
+    p = G.Params(trees=3, depth=0, row_ratio=0.37, seed=4)
+    m = G.fit_forest(many, p)
+    assert [x.n for x in m.nodes.values()] == [int(0.37 * 1200)] * 3
+    fine = G.draw(many.data, p, [0, 1, 2], "row_id", few=3)
+    assert fine == m.drawn and len(set(fine.values())) == 3
+
+
+def test_trees_under_a_bound_are_those_grown_alone(many):
+    for bound in (0.02, 0.1):
+        together = G.fit_forest(many, G.Params(trees=4, depth=2, row_ratio=0.2, mi_bound=bound))
+        for t in range(4):
+            alone = G.fit_forest(many, G.Params(trees=1, depth=2, row_ratio=0.2, mi_bound=bound, seed=t))
+            mine = {n: (x.party, x.threshold, x.counts) for (tree, n), x in together.nodes.items() if tree == t}
+            assert mine == {n: (x.party, x.threshold, x.counts) for (_, n), x in alone.nodes.items()}
+
+
+def test_the_log(many):
+    m = G.fit_boosting(many, G.Params(trees=3, depth=2), log_loss=True)
+    got = G.log_frame(many.data, m).collect()
+    assert [r.round for r in got] == [0, 1, 2] and got[0].loss > got[1].loss > got[2].loss
+    assert all(0.5 <= r.purity <= 1 and r.leaves <= 4 and r.rows == 1200 for r in got)

@@ -57,11 +57,12 @@ def gain_scores(cand: DataFrame, outputs: int, lam: float = 1.0, gamma: float =
     return cand.withColumn("score", F.round(S.gain(pick("cum", "g"), pick("cum", "h"), pick("tot", "g"), pick("tot", "h"), lam, gamma), 9))
 
 
-def best(scored: DataFrame, by: list[str], order: list[str], keep: list[str]) -> DataFrame:
-    """The row with the best score for each ``by``; of equal ones the first in ``order``.  An aggregation, not a sort."""
+def best(scored: DataFrame, by: list[str], order: list[str], keep: list[str], more: dict[str, Column] | None = None) -> DataFrame:
+    """The row with the best score for each ``by``, and aggregates ``more``; of equal ones the first in ``order``.  An aggregation, not a sort."""
     first = F.min(F.struct((-F.col("score")).alias("_s"), *order, *[c for c in keep if c not in order]))
-    got = scored.where(F.col("score").isNotNull() & ~F.isnan("score")).groupBy(*by).agg(first.alias("_b"))
-    return got.select(*by, *[F.col(f"_b.{c}").alias(c) for c in dict.fromkeys([*order, *keep])], (-F.col("_b._s")).alias("score"))
+    more = more or {}
+    got = scored.where(F.col("score").isNotNull() & ~F.isnan("score")).groupBy(*by).agg(first.alias("_b"), *[c.alias(k) for k, c in more.items()])
+    return got.select(*by, *[F.col(f"_b.{c}").alias(c) for c in dict.fromkeys([*order, *keep])], (-F.col("_b._s")).alias("score"), *more)
 
 
 def hazen(hist: DataFrame, keys: list[str], probs: int, value: str = "x") -> DataFrame:

@@ -106,10 +106,6 @@ def _below(node: int, top: int) -> bool:
     return node == top
 
 
-def _ancestors(model: G.Model) -> dict[tuple[int, int], list[int]]:
-    return {(t, n): [n >> s for s in range(n.bit_length())] for (t, n), x in model.nodes.items() if x.leaf}
-
-
 def _expanded(frame: VerticalFrame, model: G.Model) -> DataFrame:
     """tree, row, y, node for the leaf of a row and all nodes above it."""
     a = G.assignments(frame, model)

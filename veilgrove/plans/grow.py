@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from typing import NamedTuple
+from typing import NamedTuple, Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from veilgrove.frame import Feature, VerticalFrame
 from veilgrove.functions import scalar as S
 from veilgrove.operators import split as P
+from veilgrove.storage import cut as checkpointed
 
 
 @dataclass(frozen=True)
@@ -66,6 +67,8 @@ class Node:
     threshold: float | None = None
     missing_left: bool = False
     score: float | None = None
+    #: Splits of passive parties among which this one was found.
+    offers: int = 0
     leaf: bool = True
     value: list[float] = field(default_factory=list)
     restricted: bool = False
@@ -82,6 +85,8 @@ class Model(NamedTuple):
     n_trees: int
     log: list[dict]
     row_id: str = "row_id"
+    #: Of each tree, the largest hash of a row that it is grown on; none for all rows.
+    drawn: dict[int, int] | None = None
 
     def lookup_sizes(self) -> dict[int, int]:
         """Splits that each party has recorded."""
@@ -106,12 +111,70 @@ def walk(model: Model, tree: int, at_leaf: Callable[[Node], Column], node: int =
     return F.when(goes_left(model, x), walk(model, tree, at_leaf, 2 * node)).otherwise(walk(model, tree, at_leaf, 2 * node + 1))
 
 
-def in_sample(model_or_params: Params, row_id: str, tree: int) -> Column:
-    """Whether a row is drawn for a tree: without replacement, by a hash of its id, so any task can tell."""
-    p = model_or_params
-    if p.row_ratio >= 1:
+class Vault(Protocol):
+    """How passive parties' sums are made where they must not see what they add up (``plans.secure``)."""
+
+    def seal(self, data: DataFrame, named: dict[str, Column]) -> DataFrame: ...
+
+    def histogram(self, rows: DataFrame, features: dict[int, list[Feature]], cols: list[str]) -> DataFrame: ...
+
+
+def _hash(row_id: str, p: Params, tree: int) -> Column:
+    return F.xxhash64(F.col(row_id).cast("string"), F.lit(p.seed + tree))
+
+
+def draw(data: DataFrame, p: Params, trees: list[int], row_id: str, few: int = 4096) -> dict[int, int] | None:
+    """Of each tree, the int(ratio * n)-th smallest hash of the rows' ids: a draw of exactly so many rows without replacement.
+
+    Hashes are counted in 4096 ranges, then in the range that holds the wanted
+    rank, until that is down to ``few`` rows, which come to the driver.
+    """
+    if p.row_ratio >= 1 or not trees:
+        return None
+    k = int(p.row_ratio * data.count())
+    out: dict[int, int] = {}
+    # tree -> (bits fixed so far, their value, rows before them)
+    at = {t: (0, 0, 0) for t in trees}
+    while at:
+        bits = min(next(iter(at.values()))[0] + 12, 64)
+        own = F.array(*[F.struct(F.lit(t).alias("t"), (_hash(row_id, p, t).bitwiseXOR(F.lit(-(2**63)))).alias("h")) for t in at])
+        rows = data.select(F.explode(own).alias("s")).select("s.t", "s.h")
+        fixed = None
+        for t, (done, value, _) in at.items():
+            here = (F.col("t") == t) & (F.shiftrightunsigned("h", 64 - done) == value if done else F.lit(True))
+            fixed = here if fixed is None else fixed | here
+        rows = rows.where(fixed)
+        counts: dict[int, dict[int, int]] = {t: {} for t in at}
+        for r in rows.groupBy("t", F.shiftrightunsigned("h", 64 - bits).alias("b")).count().collect():
+            counts[r.t][r.b % 2**64] = r["count"]
+        ready = {}
+        for t, (_, _, before) in list(at.items()):
+            for b in sorted(counts[t]):
+                if before + counts[t][b] >= k:
+                    break
+                before += counts[t][b]
+            at[t] = (bits, b, before)
+            if counts[t][b] <= few or bits == 64:
+                ready[t] = at.pop(t)
+        if ready:
+            wanted = None
+            for t, (done, value, _) in ready.items():
+                here = (F.col("t") == t) & (F.shiftrightunsigned("h", 64 - done) == F.lit(value if value < 2**63 else value - 2**64))
+                wanted = here if wanted is None else wanted | here
+            held: dict[int, list[int]] = {t: [] for t in ready}
+            for r in rows.where(wanted).collect():
+                held[r.t].append(r.h % 2**64)
+            for t, (_, _, before) in ready.items():
+                out[t] = sorted(held[t])[k - before - 1] - 2**63 if k else -(2**63) - 1
+    return out
+
+
+def in_sample(model: Model, tree: int) -> Column:
+    """Whether a row is drawn for a tree: by a hash of its id, so any task can tell."""
+    limit = (model.drawn or {}).get(tree)
+    if limit is None:
         return F.lit(True)
-    return F.pmod(F.xxhash64(F.col(row_id).cast("string"), F.lit(p.seed + tree)), F.lit(1_000_000)) < int(p.row_ratio * 1_000_000)
+    return _hash(model.row_id, model.params, tree) <= limit if limit >= -(2**63) else F.lit(False)
 
 
 def sampled_features(features: tuple[Feature, ...], p: Params, tree: int) -> list[Feature]:
@@ -147,39 +210,72 @@ def _binned(frame: VerticalFrame, bins: int) -> VerticalFrame:
     return frame._replace(data=frame.data.withColumns(cols))
 
 
-def _level(data: DataFrame, model: Model, open_nodes: list[Node], outputs: int) -> list[dict]:
+def _level(data: DataFrame, model: Model, open_nodes: list[Node], outputs: int, vault: Vault | None = None) -> list[dict]:
     """The best split of every open node, if it has any."""
     p, k = model.params, model.num_classes
     sums, cols = _sums(k, outputs)
-    pieces = []
-    for tree in sorted({x.tree for x in open_nodes}):
-        here = {x.node for x in open_nodes if x.tree == tree}
-        place = walk(model, tree, lambda x, h=here: F.lit(x.node) if x.node in h else F.lit(None).cast("int"))
-        only = {x.node for x in open_nodes if x.tree == tree and (x.restricted or p.active_only)}
-        feats = sampled_features(model.features, p, tree)
-        cells = F.array(*[F.struct(F.lit(f.party_id).alias("party"), F.lit(f.feature_id).alias("feature"), F.col(f.name).alias("x")) for f in feats])
-        pieces.append(F.when(in_sample(p, model.row_id, tree), F.struct(F.lit(tree).alias("tree"), place.alias("node"), F.lit(bool(only)).alias("some"), cells.alias("cells"))))
-    if not any(sampled_features(model.features, p, x.tree) for x in open_nodes):
+    trees = sorted({x.tree for x in open_nodes})
+    features = {t: sampled_features(model.features, p, t) for t in trees}
+    if not any(features.values()):
         return []
-    extra = [c for c in data.columns if c[0] in "gh" and c[1:].isdigit()]
-    rows = data.select("y", *extra, F.explode(F.filter(F.array(*pieces), lambda s: s.isNotNull() & s["node"].isNotNull())).alias("_t"))
-    cells = rows.select("y", *extra, "_t.tree", "_t.node", F.explode("_t.cells").alias("_c")).select("y", *extra, "tree", "node", "_c.party", "_c.feature", "_c.x")
-    closed = [(x.tree, x.node) for x in open_nodes if x.restricted or p.active_only]
-    if closed:
-        mine = F.col("party") == p.active_party
-        barred = F.array([F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in closed])
-        cells = cells.where(mine | ~F.array_contains(barred, F.struct(F.col("tree").alias("a"), F.col("node").alias("b"))))
+    places = {}
+    for tree in trees:
+        here = {x.node for x in open_nodes if x.tree == tree}
+        places[tree] = F.when(in_sample(model, tree), walk(model, tree, lambda x, h=here: F.lit(x.node) if x.node in h else F.lit(None).cast("int")))
+    # One small row for each open node: its sums, those of its tree's root, and whether only the active party may split it.
+    names = [f"all_{c}" for c in cols] + [f"root_c{i}" for i in range(k)]
+    known = F.broadcast(
+        data.sparkSession.createDataFrame(
+            [(x.tree, x.node, bool(x.restricted or p.active_only), *[float(v) for v in [x.n, *x.counts, *[v for gh in zip(x.g, x.h, strict=True) for v in gh], *model.nodes[x.tree, 1].counts]]) for x in open_nodes],
+            "tree int, node int, closed boolean, " + ", ".join(f"{c} double" for c in names),
+        )
+    )
     keys = ["tree", "node", "party", "feature"]
-    hist = P.histogram(cells, keys, sums)
+    extra = [c for c in data.columns if c[0] in "gh" and c[1:].isdigit()]
+
+    def cells_of(wanted: Callable[[Feature], bool]) -> DataFrame:
+        pieces = []
+        for tree in trees:
+            cells = F.array(*[F.struct(F.lit(f.party_id).alias("party"), F.lit(f.feature_id).alias("feature"), F.col(f.name).alias("x")) for f in features[tree] if wanted(f)])
+            if any(map(wanted, features[tree])):
+                pieces.append(F.struct(F.lit(tree).alias("tree"), places[tree].alias("node"), cells.alias("cells")))
+        rows = data.select("y", *extra, F.explode(F.filter(F.array(*pieces), lambda s: s["node"].isNotNull())).alias("_t"))
+        return rows.select("y", *extra, "_t.tree", "_t.node", F.explode("_t.cells").alias("_c")).select("y", *extra, "tree", "node", "_c.party", "_c.feature", "_c.x")
+
+    shut = any(x.restricted or p.active_only for x in open_nodes)
+    everywhere = shut and all(x.restricted or p.active_only for x in open_nodes)
+    mine = lambda f: f.party_id == p.active_party
+    parts = []
+    if vault is None:
+        if any(mine(f) or not everywhere for own in features.values() for f in own):
+            cells = cells_of(mine if everywhere else lambda f: True)
+            if shut and not everywhere:
+                cells = cells.join(known.select("tree", "node", "closed"), ["tree", "node"]).where((F.col("party") == p.active_party) | ~F.col("closed"))
+            parts.append(P.histogram(cells, keys, sums))
+    else:
+        if any(mine(f) for own in features.values() for f in own):
+            parts.append(P.histogram(cells_of(mine), keys, sums))
+        passive = {t: [f for f in own if not mine(f)] for t, own in features.items()}
+        if not everywhere and any(passive.values()):
+            free = {(x.tree, x.node) for x in open_nodes if not (x.restricted or p.active_only)}
+            at = F.array(*[F.struct(F.lit(t).alias("tree"), places[t].alias("node")) for t in trees if passive[t]])
+            spots = F.filter(at, lambda s: F.struct(s["tree"], s["node"]).isin(*[F.struct(F.lit(a), F.lit(b)) for a, b in sorted(free)]))
+            rows = data.select("*", F.explode(spots).alias("_s")).select("*", "_s.tree", "_s.node")
+            parts.append(vault.histogram(rows, passive, cols[1:]))
+    if not parts:
+        return []
+    hist = parts[0]
+    for part in parts[1:]:
+        hist = hist.unionByName(part)
+    # Materialised, since block bounds, block sums and running sums each read it.
+    hist = checkpointed(hist)
     run = P.cumulative(hist, keys, "x", cols, blocks=16)
-    own = F.array([F.struct(F.lit(x.tree).alias("a"), F.lit(x.node).alias("b"), F.array(*[F.lit(float(v)) for v in [x.n, *x.counts, *[v for gh in zip(x.g, x.h, strict=True) for v in gh]]]).alias("v")) for x in open_nodes])
-    known = F.element_at(F.filter(own, lambda s: (s["a"] == F.col("tree")) & (s["b"] == F.col("node"))), 1)["v"]
-    run = run.withColumn("_v", known).select("*", *[F.col("_v")[i].alias(f"all_{c}") for i, c in enumerate(cols)])
+    run = run.join(known, ["tree", "node"])
     run = run.join(P.totals(hist, keys, cols), keys)  # of rows that are not missing
     directions = [F.lit(False)] + ([F.lit(True)] if p.use_missing else [])
     run = run.withColumn("missing_left", F.explode(F.array(*directions))).where(~F.col("missing_left") | (F.col("tot_n") < F.col("all_n")))
     left = {c: F.col(f"cum_{c}") + F.when(F.col("missing_left"), F.col(f"all_{c}") - F.col(f"tot_{c}")).otherwise(0) for c in cols}
-    run = run.select(*keys, "x", "missing_left", *[left[c].cast("double").alias(f"l_{c}") for c in cols], *[F.col(f"all_{c}") for c in cols])
+    run = run.select(*keys, "x", "missing_left", *[left[c].cast("double").alias(f"l_{c}") for c in cols], *names)
     run = run.where((F.col("l_n") >= p.min_leaf) & (F.col("all_n") - F.col("l_n") >= p.min_leaf))
     lc, ac = [F.col(f"l_c{i}") for i in range(k)], [F.col(f"all_c{i}") for i in range(k)]
     if outputs:
@@ -192,19 +288,20 @@ def _level(data: DataFrame, model: Model, open_nodes: list[Node], outputs: int)
     else:
         score = S.split_score(lc, ac)
     if p.mi_bound is not None:
-        root = model.nodes[open_nodes[0].tree, 1]
-        run = run.where((F.col("party") == p.active_party) | (lmir_ok(lc, root.counts, p.mi_bound) & lmir_ok([a - b for a, b in zip(ac, lc, strict=True)], root.counts, p.mi_bound)))
+        root = [F.col(f"root_c{i}") for i in range(k)]
+        run = run.where((F.col("party") == p.active_party) | (lmir_ok(lc, root, p.mi_bound) & lmir_ok([a - b for a, b in zip(ac, lc, strict=True)], root, p.mi_bound)))
     scored = run.withColumn("score", F.round(score, 9)).where(F.col("score") > p.min_gain)
     keep = ["party", "feature", "x", "missing_left", *[f"l_{c}" for c in cols]]
-    return [r.asDict() for r in P.best(scored, ["tree", "node"], ["party", "feature", "missing_left", "x"], keep).collect()]
+    return [r.asDict() for r in P.best(scored, ["tree", "node"], ["party", "feature", "missing_left", "x"], keep, {"passive": F.count(F.when(F.col("party") != p.active_party, 1))}).collect()]
 
 
-def lmir_ok(inside: list[Column], entire: list[int], bound: float) -> Column:
-    """Both the node and its complement diverge from the prior by at most the bound; a bound of 0 or less lets all pass."""
+def lmir_ok(inside: list[Column], entire: list[Column], bound: float) -> Column:
+    """Both the node and its complement in its tree diverge from the tree's prior by at most the bound; a bound of 0 or less lets all pass."""
     if bound <= 0:
         return F.lit(True)
-    prior = [F.lit(c / sum(entire)) for c in entire]
-    outside = [F.lit(float(e)) - c for e, c in zip(entire, inside, strict=True)]
+    n = S.total(entire)
+    prior = [c / n for c in entire]
+    outside = [e - c for e, c in zip(entire, inside, strict=True)]
     return F.greatest(S.divergence(inside, prior), S.divergence(outside, prior)) <= bound
 
 
@@ -219,7 +316,7 @@ def _lmir_plain(counts: list[int], entire: list[int], bound: float | None) -> bo
     return max(kl(counts), kl([e - c for e, c in zip(entire, counts, strict=True)])) <= bound
 
 
-def _grow(data: DataFrame, model: Model, roots: list[Node], outputs: int) -> None:
+def _grow(data: DataFrame, model: Model, roots: list[Node], outputs: int, vault: Vault | None = None) -> None:
     """Grow all subtrees below ``roots`` together, level by level, in place."""
     p = model.params
 
@@ -240,10 +337,11 @@ def _grow(data: DataFrame, model: Model, roots: list[Node], outputs: int) -> Non
             return
         level = []
         cols = _sums(model.num_classes, outputs)[1]
-        found = _level(data, model, open_nodes, outputs)
+        found = _level(data, model, open_nodes, outputs, vault)
         for b in sorted(found, key=lambda r: (r["tree"], r["node"])):
             x = model.nodes[b["tree"], b["node"]]
             x.leaf, x.party, x.feature, x.threshold, x.missing_left, x.score = False, b["party"], b["feature"], b["x"], b["missing_left"], b["score"]
+            x.offers = b["passive"]
             x.record = sum(1 for y in model.nodes.values() if not y.leaf and y.party == x.party) - 1
             left = {c: b[f"l_{c}"] for c in cols}
             k = model.num_classes
@@ -268,7 +366,7 @@ def S_value(g: float, h: float, lam: float) -> float:
     return -g / (h + lam) if h + lam else 0.0
 
 
-def _mark_hidden(model: Model) -> None:
+def mark_hidden(model: Model) -> None:
     """Leaves whose split the label owner holds are not seen as split by others."""
     for x in list(model.nodes.values()):
         if not x.leaf:
@@ -277,10 +375,10 @@ def _mark_hidden(model: Model) -> None:
                 a.not_splitted = b.not_splitted = True
 
 
-def _root_stats(data: DataFrame, p: Params, trees: list[int], num_classes: int, outputs: int, row_id: str) -> dict[int, dict]:
+def _root_stats(data: DataFrame, model: Model, trees: list[int], outputs: int) -> dict[int, dict]:
     """Counts and sums of every tree's rows, in one job."""
-    sums, cols = _sums(num_classes, outputs)
-    member = F.array(*[F.when(in_sample(p, row_id, t), F.lit(t)) for t in trees])
+    sums, cols = _sums(model.num_classes, outputs)
+    member = F.array(*[F.when(in_sample(model, t), F.lit(t)) for t in trees])
     got = data.select("*", F.explode(F.filter(member, lambda t: t.isNotNull())).alias("tree")).groupBy("tree").agg(F.count("*").alias("n"), *sums).collect()
     empty = dict.fromkeys(cols, 0)
     return {t: next((r.asDict() for r in got if r.tree == t), empty) for t in trees}
@@ -291,18 +389,42 @@ def _root(tree: int, depth: int, stats: dict, num_classes: int, outputs: int) ->
 
 
 # -- models ------------------------------------------------------------------------------------------
-def fit_forest(frame: VerticalFrame, p: Params) -> Model:
-    """Independent trees on gini impurity, all grown in the same jobs."""
+def fit_forest(frame: VerticalFrame, p: Params, vault: Vault | None = None) -> Model:
+    """Independent trees on gini impurity, all grown in the same jobs; behind ``vault``, passive parties add up sealed class marks."""
     grown = _binned(frame, p.bins) if p.bins else frame
-    model = Model("forest", frame.features, frame.num_classes, p, {}, p.trees, [], frame.row_id)
     trees = list(range(p.trees))
+    model = Model("forest", frame.features, frame.num_classes, p, {}, p.trees, [], frame.row_id, draw(grown.data, p, trees, frame.row_id))
     if trees:
-        stats = _root_stats(grown.data, p, trees, frame.num_classes, 0, frame.row_id)
-        _grow(grown.data, model, [_root(t, p.depth, stats[t], frame.num_classes, 0) for t in trees], 0)
-    _mark_hidden(model)
+        data = grown.data if vault is None else checkpointed(vault.seal(grown.data, class_marks(frame.num_classes)))
+        stats = _root_stats(data, model, trees, 0)
+        _grow(data, model, [_root(t, p.depth, stats[t], frame.num_classes, 0) for t in trees], 0, vault)
+    mark_hidden(model)
+    for t in trees:
+        model.log.append(_entry(model, t, None))
     return model
 
 
+def class_marks(num_classes: int) -> dict[str, Column]:
+    return {f"c{k}": (F.col("y") == k).cast("double") for k in range(num_classes)}
+
+
+def _entry(model: Model, tree: int, loss: float | None) -> dict:
+    """What is logged of a tree: its loss, purity, leaves, and the splits that passive parties offered."""
+    own = [x for x in model.nodes.values() if x.tree == tree]
+    n = model.nodes[tree, 1].n if (tree, 1) in model.nodes else 0
+    leaves = [x for x in own if x.leaf]
+    purity = sum(max(x.counts, default=0) for x in leaves) / n if n else None
+    return {"round": tree, "loss": loss, "rows": n, "leaves": len(leaves), "purity": purity, "offers": sum(x.offers for x in own)}
+
+
+LOG = "round int, loss double, rows long, leaves int, purity double, offers long"
+
+
+def log_frame(data: DataFrame, model: Model) -> DataFrame:
+    """The log as rows, one for each tree."""
+    return data.sparkSession.createDataFrame([tuple(e.values()) for e in model.log], LOG)
+
+
 def logits(model: Model) -> list[Column]:
     """Raw scores: one for two classes, else one for each."""
     outputs = 1 if model.num_classes == 2 else model.num_classes
@@ -333,29 +455,41 @@ def predict(frame: VerticalFrame, model: Model) -> DataFrame:
     return frame.data.select(frame.row_id, frame.label, *[p.alias(f"p{k}") for k, p in enumerate(probabilities(model))])
 
 
-def fit_boosting(frame: VerticalFrame, p: Params, cut: Callable[[DataFrame], DataFrame] | None = None, start: Model | None = None) -> Model:
-    """Rounds of second-order boosting; ``start`` continues a model, ``cut`` materialises the scores after a round."""
+def fit_boosting(frame: VerticalFrame, p: Params, cut: Callable[[DataFrame], DataFrame] | None = None, start: Model | None = None, vault: Vault | None = None, log_loss: bool = False) -> Model:
+    """Rounds of second-order boosting; ``start`` continues a model, ``cut`` materialises the scores after a round.
+
+    Behind ``vault``, passive parties add up sealed gradients, hessians and class
+    marks; ``log_loss`` takes one more aggregation a round.
+    """
     k = frame.num_classes
     outputs = 1 if k == 2 else k
     grown = _binned(frame, p.bins) if p.bins else frame
     begun = start.n_trees if start else 0
-    model = Model("boosting", frame.features, k, p, dict(start.nodes) if start else {}, begun, list(start.log) if start else [], frame.row_id)
+    drawn = draw(grown.data, p, list(range(begun, begun + p.trees)), frame.row_id)
+    if start and start.drawn:
+        drawn = {**start.drawn, **(drawn or {})}
+    model = Model("boosting", frame.features, k, p, dict(start.nodes) if start else {}, begun, list(start.log) if start else [], frame.row_id, drawn)
     scored = grown.data.withColumns({f"s{c}": x for c, x in enumerate(logits(model))})
+    raw = [F.col(f"s{c}") for c in range(outputs)]
+    probs = [S.sigmoid(raw[0])] if k == 2 else S.softmax(raw)
     for r in range(begun, begun + p.trees):
-        raw = [F.col(f"s{c}") for c in range(outputs)]
-        probs = [S.sigmoid(raw[0])] if k == 2 else S.softmax(raw)
         g = [S.bce_gradient(F.col("y"), probs[0])] if k == 2 else S.ce_gradients(F.col("y"), probs)
         h = [S.bce_hessian(q) for q in probs]
-        data = scored.withColumns({**{f"g{c}": x for c, x in enumerate(g)}, **{f"h{c}": x for c, x in enumerate(h)}})
+        named = {**{f"g{c}": x for c, x in enumerate(g)}, **{f"h{c}": x for c, x in enumerate(h)}}
+        data = scored.withColumns(named)
+        if vault is not None:
+            data = checkpointed(vault.seal(data, {**class_marks(k), **{c: F.col(c) for c in named}}))
         secure = p.active_only or r < p.secure_rounds
         step = model._replace(params=replace(p, active_only=secure))
-        stats = _root_stats(data, p, [r], k, outputs, frame.row_id)
-        _grow(data, step, [_root(r, p.depth, stats[r], k, outputs)], outputs)
+        stats = _root_stats(data, model, [r], outputs)
+        _grow(data, step, [_root(r, p.depth, stats[r], k, outputs)], outputs, vault)
         scored = scored.withColumns({f"s{c}": F.col(f"s{c}") + p.rate * walk(model, r, lambda x, c=c: F.lit(float(x.value[c]))) for c in range(outputs)})
         if cut is not None:
             scored = cut(scored)
         model = model._replace(n_trees=r + 1)
-    _mark_hidden(model)
+        loss = S.bce_loss(F.col("y"), probs[0]) if k == 2 else S.ce_loss(F.col("y"), probs)
+        model.log.append(_entry(model, r, scored.agg((F.avg if k == 2 else F.sum)(loss)).first()[0] if log_loss else None))
+    mark_hidden(model)
     return model
 
 
@@ -365,7 +499,7 @@ def fit(frame: VerticalFrame, p: Params, kind: str = "forest") -> Model:
 
 def leaves(frame: VerticalFrame, model: Model, tree: int) -> Column:
     """The leaf of each row in a tree; null for rows that the tree was not grown on."""
-    return F.when(in_sample(model.params, frame.row_id, tree), walk(model, tree, lambda x: F.lit(x.node)))
+    return F.when(in_sample(model, tree), walk(model, tree, lambda x: F.lit(x.node)))
 
 
 def assignments(frame: VerticalFrame, model: Model) -> DataFrame:
