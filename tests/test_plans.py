@@ -65,3 +65,30 @@ def test_codec(spark, eight):
     assert [tuple(r) for r in C.log_values(log, "loss").collect()] == [(1, 0.5), (2, 0.25)]
     m = G.fit_forest(eight, G.Params(trees=1, depth=2))
     assert "f0 <= 16" in C.tree_text(m, 0) and '"children"' in C.tree_json(m, 0)
+
+
+def test_text_formats_of_results(spark, eight, tmp_path):
+    import numpy as np
+
+    roots = spark.createDataFrame([(0, 0), (1, 1), (2, 0)], "row_id long, root long")
+    assert C.union_line(roots).first().line == "0 1 0 "
+    assert sorted(map(tuple, C.union_rows(C.union_line(roots)).collect())) == [(0, 0), (1, 1), (2, 0)]
+    m = G.fit_boosting(eight, G.Params(trees=2, depth=2), log_loss=True)
+    lines = C.log_lines(G.log_frame(eight.data, m))
+    assert {r.round: round(r.value, 9) for r in C.log_values(lines, "loss").collect()} == {k: round(e["loss"], 9) for k, e in enumerate(m.log)}
+    assert " *\n" in C.tree_text(G.fit_forest(eight, G.Params(trees=1, depth=2)), 0, purity=True)
+    np.save(tmp_path / "fti.npy", np.array([0.5, 0.25]))
+    assert sorted(map(tuple, C.feature_scores(spark, str(tmp_path / "fti.npy")).collect())) == [(0, 0.5), (1, 0.25)]
+    report = spark.createDataFrame([("auc", 0.5, 0.125)], "metric string, mean double, std double")
+    assert C.report_markdown(report) == "| metric | mean | std |\n| - | - | - |\n| auc | 0.5000 | 0.1250 |\n"
+    C.report_csv(report, str(tmp_path / "report"))
+    assert spark.read.csv(str(tmp_path / "report"), header=True).first().mean == "0.5"
+
+
+def test_links_and_targets(eight):
+    forest = G.fit_forest(eight, G.Params(trees=1, depth=2))
+    plain = {(r.src, r.dst): r.w for r in A.adjacency(eight, forest, chunk=2).collect()}
+    assert max(plain.values()) == A.LINK and {w for w in plain.values()} == {1.0, A.LINK}
+    boost = G.fit_boosting(eight, G.Params(trees=2, depth=3, rate=0.4, init=1.0))
+    assert A.visible(boost, 0)[14] == A.visible(boost, 0)[15] == 7
+    assert A.visible(boost, 0, target=False)[14] == 14

@@ -42,6 +42,26 @@ def add_edges(*parts: DataFrame) -> DataFrame:
     return out.groupBy("src", "dst").agg(F.sum("w").alias("w")).where(F.col("w") != 0)
 
 
+def from_dense(rows: DataFrame) -> DataFrame:
+    """src, dst, w of the lower triangle of a symmetric matrix given by rows: node (from 0), values."""
+    cells = rows.select(F.col("node").alias("src"), F.posexplode("values").alias("dst", "w"))
+    return cells.where((F.col("w") != 0) & (F.col("dst") <= F.col("src"))).select("src", F.col("dst").cast("long").alias("dst"), "w")
+
+
+def to_dense(edges: DataFrame, n: int) -> DataFrame:
+    """node, values: the rows of the symmetric matrix of ``n`` nodes; each row is an array, so this is for small graphs."""
+    own = symmetric(edges).groupBy(F.col("src").alias("node")).agg(F.map_from_entries(F.collect_list(F.struct("dst", "w"))).alias("m"))
+    nodes = edges.sparkSession.range(n).withColumnRenamed("id", "node")
+    at = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    return nodes.join(own, "node", "left").select("node", F.transform(at, lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("values"))
+
+
+def from_compressed(rows: DataFrame) -> DataFrame:
+    """src, dst, w of the lower triangle from compressed rows: node, columns, values."""
+    cells = rows.select(F.col("node").alias("src"), F.explode(F.arrays_zip("columns", "values")).alias("c")).select("src", F.col("c.columns").cast("long").alias("dst"), F.col("c.values").alias("w"))
+    return cells.where((F.col("dst") <= F.col("src")) & (F.col("w") != 0))
+
+
 def symmetric(edges: DataFrame) -> DataFrame:
     """Both directions of every edge, loops once."""
     return edges.select("src", "dst", "w").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
@@ -52,6 +72,12 @@ def degrees(edges: DataFrame) -> DataFrame:
     return symmetric(edges).groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
 
 
+def clique_degrees(groups: DataFrame, group: list[str], row: str = "row_id") -> DataFrame:
+    """node, k: degrees in the graph of cliques without its edges: group sizes less one."""
+    size = groups.groupBy(*group).agg(F.count("*").alias("_n"))
+    return groups.join(size, group).groupBy(F.col(row).alias("node")).agg(F.sum(F.col("_n") - 1).cast("double").alias("k"))
+
+
 def self_loops(edges: DataFrame) -> DataFrame:
     return edges.where("src = dst").groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("w"))
 
@@ -59,7 +85,7 @@ def self_loops(edges: DataFrame) -> DataFrame:
 def non_isolated(edges: DataFrame, rows: DataFrame) -> DataFrame:
     """ratio: share of the rows that an edge touches."""
     touched = edges.select("src").union(edges.select("dst")).distinct().agg(F.count("*").alias("t"))
-    return touched.crossJoin(rows.agg(F.count("*").alias("n"))).select((F.col("t") / F.col("n")).alias("ratio"))
+    return touched.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n")))).select((F.col("t") / F.col("n")).alias("ratio"))
 
 
 def star_edges(groups: DataFrame, group: list[str], row: str = "row_id") -> DataFrame:
@@ -143,16 +169,96 @@ def contract(edges: DataFrame, comm: DataFrame) -> DataFrame:
     return e.groupBy(F.greatest("c1", "c2").alias("src"), F.least("c1", "c2").alias("dst")).agg(F.sum(w).alias("w"))
 
 
-def louvain(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], levels: int = 100, sweeps: int = 1000, tolerance: float = 1e-7) -> DataFrame:
-    """node, comm: sweeps until nothing is gained, contraction, and again; ends also at two communities.
-
-    A sweep that lowers modularity is undone, so it never falls.  ``levels`` and
-    ``sweeps`` are safety bounds: reaching one raises an error.
+#: Edges up to which a level's local moves run in order on the driver: a bound on what it holds.
+LOCAL_EDGES = 200_000
+
+
+def move_in_order(edges: list[tuple[int, int, float]], start: dict[int, int] | None = None, tolerance: float = 1e-12) -> dict[int, int]:
+    """node -> community: nodes in order each go where they gain most, ties to the smallest community, until none moves."""
+    near: dict[int, dict[int, float]] = {}
+    k: dict[int, float] = {}
+    for a, b, w in edges:
+        for x, y in ((a, b), (b, a)) if a != b else ((a, b),):
+            near.setdefault(x, {})[y] = near.setdefault(x, {}).get(y, 0.0) + w
+            k[x] = k.get(x, 0.0) + w
+    total = sum(k.values())
+    comm = dict(start) if start else {x: x for x in near}
+    size: dict[int, float] = {}
+    for x, c in comm.items():
+        size[c] = size.get(c, 0.0) + k[x]
+    moved = total > 0
+    while moved:
+        moved = False
+        for x in sorted(near):
+            own = comm[x]
+            to = {own: 0.0}
+            for y, w in near[x].items():
+                if y != x:
+                    to[comm[y]] = to.get(comm[y], 0.0) + w
+            gain = {c: w - (size[c] - (k[x] if c == own else 0.0)) * k[x] / total for c, w in to.items()}
+            best = min(gain, key=lambda c: (-round(gain[c], 9), c))
+            if round(gain[best], 9) > round(gain[own], 9) + tolerance:
+                size[own] -= k[x]
+                size[best] += k[x]
+                comm[x] = best
+                moved = True
+    return comm
+
+
+def _contracted(edges: list[tuple[int, int, float]], comm: dict[int, int]) -> list[tuple[int, int, float]]:
+    out: dict[tuple[int, int], float] = {}
+    for a, b, w in edges:
+        c, d = comm[a], comm[b]
+        key = (max(c, d), min(c, d))
+        out[key] = out.get(key, 0.0) + (2 * w if c == d and a != b else w)
+    return [(a, b, w) for (a, b), w in out.items()]
+
+
+def _quality(edges: list[tuple[int, int, float]], comm: dict[int, int]) -> float:
+    inside: dict[int, float] = {}
+    tot: dict[int, float] = {}
+    for a, b, w in edges:
+        for x, y in ((a, b), (b, a)) if a != b else ((a, b),):
+            tot[comm[x]] = tot.get(comm[x], 0.0) + w
+            if comm[x] == comm[y]:
+                inside[comm[x]] = inside.get(comm[x], 0.0) + w
+    m = sum(tot.values())
+    return sum(inside.get(c, 0.0) / m - (t / m) ** 2 for c, t in tot.items()) if m else 0.0
+
+
+def louvain_in_order(edges: list[tuple[int, int, float]], tolerance: float = 1e-7) -> dict[int, int]:
+    """node -> community of a small graph: moves in order, contraction, and again, until nothing is gained or two communities are left."""
+    whole = {x: x for e in edges for x in e[:2]}
+    q = _quality(edges, whole)
+    while True:
+        comm = move_in_order(edges)
+        new = _quality(edges, comm)
+        if new <= q + tolerance:
+            return whole
+        whole, q = {x: comm[c] for x, c in whole.items()}, new
+        edges = _contracted(edges, comm)
+        if len(set(comm.values())) <= 2:
+            return whole
+
+
+def louvain(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], levels: int = 100, sweeps: int = 1000, tolerance: float = 1e-7, local: int = LOCAL_EDGES) -> DataFrame:
+    """node, comm (its smallest node): local moves until nothing is gained, contraction, and again; ends also at two communities.
+
+    Levels of more than ``local`` edges move in distributed sweeps, of which one
+    that lowers modularity is undone, so it never falls; as soon as contraction
+    has left no more edges than that, the rest is done in order on the driver.
+    ``levels`` and ``sweeps`` are safety bounds: reaching one raises an error.
     """
+    spark = edges.sparkSession
     e = cut(edges.select("src", "dst", F.col("w").cast("double").alias("w")))
     nodes = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
     whole = nodes.select("node", F.col("node").alias("comm"))
     for _ in range(levels):
+        if e.count() <= local:
+            to = louvain_in_order(sorted((r.src, r.dst, r.w) for r in e.collect()), tolerance)
+            named = spark.createDataFrame(sorted(to.items()), "comm long, _to long")
+            whole = cut(whole.join(F.broadcast(named), "comm").select("node", F.col("_to").alias("comm")))
+            break
         comm = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().select("node", F.col("node").alias("comm")))
         q = modularity(e, comm).first()[0]
         begun, still = q, 0
@@ -175,4 +281,5 @@ def louvain(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], levels: int
             break
     else:
         raise RuntimeError(f"louvain: still gaining after {levels} levels")
-    return whole
+    low = whole.groupBy("comm").agg(F.min("node").alias("_low"))
+    return whole.join(low, "comm").select("node", F.col("_low").alias("comm"))

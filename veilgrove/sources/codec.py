@@ -7,8 +7,10 @@ alike without party counts, and their labels.  Missing values are -1 there.
 
 from __future__ import annotations
 
+import io
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +96,29 @@ def community_rows(lines: DataFrame) -> DataFrame:
     return lines.select("comm", F.explode(F.split("line", " ").cast("array<bigint>")).alias("node")).select("node", "comm")
 
 
+def union_line(roots: DataFrame) -> DataFrame:
+    """line: the root of every row in order of rows, separated and ended by blanks, as the format wants it: one line."""
+    return roots.agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "root"))), lambda x: x["root"].cast("string")), " "), F.lit(" ")).alias("line"))
+
+
+def union_rows(lines: DataFrame) -> DataFrame:
+    """row_id (from 0), root from ``union_line``."""
+    return lines.select(F.posexplode(F.split(F.trim("line"), " +").cast("array<bigint>")).alias("row_id", "root")).select(F.col("row_id").cast("long").alias("row_id"), "root")
+
+
+def log_lines(log: DataFrame) -> DataFrame:
+    """value: lines of a run's log, one for each round and figure that there is."""
+    figures = F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v")) for k in ("loss", "purity", "offers", "leaves")])
+    return log.select("round", F.explode(F.filter(figures, lambda x: x["v"].isNotNull())).alias("x")).select(F.format_string("round %d: %s: %s", "round", "x.k", "x.v").alias("value"))
+
+
+def feature_scores(spark: SparkSession, path: str) -> DataFrame:
+    """feature_id, score from an array file of one number for each feature."""
+    raw = spark.read.format("binaryFile").load(path).first().content
+    scores = np.load(io.BytesIO(bytes(raw)), allow_pickle=False)
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(scores)], "feature_id int, score double")
+
+
 def log_values(lines: DataFrame, name: str, col: str = "value") -> DataFrame:
     """round, value of lines such as ``round 3: <name>: 0.25``."""
     value = F.regexp_extract(F.col(col), rf"(?i){name}\s*[:=,]?\s*(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)", 1)
@@ -101,14 +126,16 @@ def log_values(lines: DataFrame, name: str, col: str = "value") -> DataFrame:
     return found.select(F.col("r").try_cast("int").alias("round"), F.col("v").try_cast("double").alias("value"))
 
 
-def tree_text(model: object, tree: int, node: int = 1, depth: int = 0) -> str:
-    """An indented picture of a tree."""
+def tree_text(model: object, tree: int, node: int = 1, depth: int = 0, purity: bool = False) -> str:
+    """An indented picture of a tree; with ``purity``, leaves of one class are marked."""
     x = model.nodes[tree, node]
     pad = "  " * depth
     if x.leaf:
-        return f"{pad}leaf n={x.n} value={[round(v, 4) for v in x.value]}\n"
+        mark = " *" if purity and x.n and max(x.counts, default=0) == x.n else ""
+        return f"{pad}leaf n={x.n} value={[round(v, 4) for v in x.value]}{mark}\n"
     name = model.features[x.feature].name
-    return f"{pad}party {x.party}: {name} <= {x.threshold:g} (n={x.n})\n" + tree_text(model, tree, 2 * node, depth + 1) + tree_text(model, tree, 2 * node + 1, depth + 1)
+    below = [tree_text(model, tree, 2 * node + s, depth + 1, purity) for s in (0, 1)]
+    return f"{pad}party {x.party}: {name} <= {x.threshold:g} (n={x.n})\n" + "".join(below)
 
 
 def tree_json(model: object, tree: int, node: int = 1) -> str:
@@ -126,3 +153,14 @@ def report(trials: DataFrame, by: str = "metric", value: str = "value") -> DataF
     from veilgrove.operators.metrics import mean_std
 
     return mean_std(trials, [by], [value])
+
+
+def report_markdown(report: DataFrame) -> str:
+    """A report, a row for each metric, as a table in text."""
+    rows = [[f"{v:.4f}" if isinstance(v, float) else str(v) for v in r] for r in report.orderBy(report.columns[0]).collect()]
+    return "\n".join("| " + " | ".join(r) + " |" for r in [report.columns, ["-"] * len(report.columns), *rows]) + "\n"
+
+
+def report_csv(report: DataFrame, path: str) -> None:
+    """The same as one file with a header."""
+    report.coalesce(1).write.mode("overwrite").csv(path, header=True)

@@ -20,11 +20,18 @@ def _values(lines: DataFrame, schema: str, sep: str) -> DataFrame:
 
 
 def after_lines(spark: SparkSession, path: str, schema: str, skip: int, sep: str = ",") -> DataFrame:
-    """The rows of one file after ``skip`` lines.  Lines are told by their text's place in the file, not by partition."""
-    head = [r.value for r in spark.read.text(path).limit(skip).collect()] if skip else []
+    """The rows of one file after its first ``skip`` lines, however often the text of these comes again.
+
+    A line's place is that of its split in the file and its number there, so a
+    file of many splits is read by many tasks.
+    """
     lines = spark.read.text(path)
-    for h in head:
-        lines = lines.where(F.col("value") != h)
+    if skip:
+        if len(lines.inputFiles()) != 1:
+            raise ValueError("lines are skipped in one file")
+        placed = lines.select("value", F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k")).alias("_place"))
+        head = placed.orderBy("_place").limit(skip).agg(F.max("_place").alias("p")).first().p
+        lines = placed.where((F.col("_place.at") > head.at) | ((F.col("_place.at") == head.at) & (F.col("_place.k") > head.k))).select("value") if head else lines
     return _values(lines.where(F.trim("value") != ""), schema, sep)
 
 
