@@ -35,3 +35,8 @@ def test_query_agrees_with_sql(spark, con, name):
     names = [c[0] for c in cur.description]
     assert sorted(names) == sorted(df.columns)
     assert got == plain(cur.fetchall(), names)
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
+def test_query_without_sql_runs(spark, name):
+    assert catalogue.QUERIES[name](spark, SF).count() > 0

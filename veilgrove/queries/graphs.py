@@ -33,11 +33,6 @@ def leaf_clique_edges(spark, d):
     return edges(spark, d)
 
 
-@query("visible_leaves", f"WITH {sql.GROUPS} SELECT leaf, leaf % 2 = 0 AS visible, count(*) AS n FROM g GROUP BY ALL")
-def visible_leaves(spark, d):
-    return groups(spark, d).groupBy("leaf", (F.col("leaf") % 2 == 0).alias("visible")).agg(F.count("*").alias("n"))
-
-
 @query("chunked_clique", f"WITH {sql.GROUPS}, c AS (SELECT row_id, leaf, floor((row_number() OVER (PARTITION BY leaf ORDER BY row_id) - 1) / 3)::INT AS chunk FROM g), l AS (SELECT leaf, chunk, min(row_id) AS lo, max(row_id) AS hi FROM c GROUP BY ALL) "
        "SELECT a.row_id AS src, b.row_id AS dst FROM c a JOIN c b ON a.leaf = b.leaf AND a.chunk = b.chunk AND a.row_id > b.row_id UNION SELECT greatest(x.hi, y.lo), least(x.hi, y.lo) FROM l x JOIN l y ON x.leaf = y.leaf AND y.chunk = x.chunk + 1")
 def chunked_clique(spark, d):
@@ -76,16 +71,6 @@ def nonisolated(spark, d):
     return G.non_isolated(edges(spark, d), groups(spark, d)).select(F.round("ratio", 9).alias("ratio"))
 
 
-@query("singleton_ratio", f"WITH {sql.GROUPS} SELECT round(avg((n = 1)::INT), 9) AS ratio FROM (SELECT leaf, count(*) AS n FROM g GROUP BY 1)")
-def singleton_ratio(spark, d):
-    return groups(spark, d).groupBy("leaf").agg(F.count("*").alias("n")).agg(F.round(F.avg((F.col("n") == 1).cast("int")), 9).alias("ratio"))
-
-
-@query("freerider_groups", f"WITH {sql.GROUPS} SELECT floor(leaf / 2)::BIGINT AS parent, count(*) AS n FROM g GROUP BY 1")
-def freerider(spark, d):
-    return groups(spark, d).groupBy(F.floor(F.col("leaf") / 2).alias("parent")).agg(F.count("*").alias("n"))
-
-
 @query("union_star_edges", f"WITH {sql.GROUPS}, m AS (SELECT leaf, min(row_id) AS dst FROM g GROUP BY 1) SELECT row_id AS src, dst FROM g JOIN m USING (leaf) WHERE row_id <> dst")
 def union_star(spark, d):
     return G.star_edges(groups(spark, d), ["leaf"])

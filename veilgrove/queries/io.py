@@ -28,6 +28,27 @@ def community_roundtrip(spark, d):
     return C.community_rows(C.community_lines(comm))
 
 
+@query("union_roundtrip", "SELECT row_id, min(row_id) OVER (PARTITION BY leaf) AS root FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_id, floor(embedding[1] * 4)::INT * 1000 + floor(embedding[2] * 4)::INT AS leaf FROM embeddings)")
+def union_roundtrip(spark, d):
+    ids = {r.row_id: k for k, r in enumerate(groups(spark, d).select("row_id").orderBy("row_id").collect())}
+    g = groups(spark, d).join(spark.createDataFrame(list(ids.items()), "row_id long, k long"), "row_id").select(F.col("k").alias("row_id"), "leaf")
+    return C.union_rows(C.union_line(R.components(R.star_edges(g, ["leaf"]), cut, g)))
+
+
+@query("dense_roundtrip", f"WITH {sql.EDGES} SELECT src, dst, w FROM e")
+def dense_roundtrip(spark, d):
+    e = edges(spark, d)
+    n = groups(spark, d).agg(F.max("row_id")).first()[0] + 1
+    return R.from_dense(R.to_dense(e, n))
+
+
+@query("compressed_source", f"WITH {sql.EDGES} SELECT src, dst, w FROM e")
+def compressed_source(spark, d):
+    """Edges from compressed rows of the whole symmetric matrix."""
+    rows = R.symmetric(edges(spark, d)).groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_list(F.struct("dst", "w"))).alias("v"))
+    return R.from_compressed(rows.select("node", F.transform("v", lambda x: x["dst"]).alias("columns"), F.transform("v", lambda x: x["w"]).alias("values")))
+
+
 @query("log_extract", "SELECT event_id::INT AS round, value FROM events")
 def log_extract(spark, d):
     ev = spark.read.parquet(f"{d}/events.parquet")
@@ -83,17 +104,47 @@ def self_repair(spark, d):
     return nodes_frame(spark, D.repair(vf, G.fit_forest(bad, G.Params(trees=1, depth=2, bins=16)), flipped))
 
 
-@query("xgb_depth2_left_rows", f"WITH {sql.LI3} SELECT count(*) AS n FROM li WHERE quantity <= 25")
-def left_rows(spark, d):
-    return VF.lineitem(spark, d).data.where("quantity <= 25").agg(F.count("*").alias("n"))
-
-
 @query("implicit_clique_degree", f"WITH {sql.GROUPS} SELECT row_id AS node, (count(*) OVER (PARTITION BY leaf) - 1)::DOUBLE AS k FROM g")
 def implicit_degree(spark, d):
-    """Degrees in the clique graph without its edges: group sizes less one."""
-    g = groups(spark, d)
-    size = g.groupBy("leaf").agg(F.count("*").alias("n"))
-    return g.join(size, "leaf").select(F.col("row_id").alias("node"), (F.col("n") - 1).cast("double").alias("k"))
+    return R.clique_degrees(groups(spark, d), ["leaf"])
+
+
+# -- what leaves show -------------------------------------------------------------------------------------
+def _hidden_model(frame):
+    """The fixed tree with its right split by the label owner, so that other parties do not see its leaves apart."""
+    from veilgrove.queries.models import fixed_model
+
+    m = fixed_model(frame)
+    m.nodes[0, 3].feature, m.nodes[0, 3].party, m.nodes[0, 3].threshold = 1, 0, 30000.0
+    G.mark_hidden(m)
+    return m
+
+
+_SEEN = "CASE WHEN quantity <= 25 THEN {left} ELSE {right} END"
+_LEFT, _RIGHT = "CASE WHEN discount <= 0.05 THEN 4 ELSE 5 END", "CASE WHEN extendedprice <= 30000 THEN 6 ELSE 7 END"
+
+
+def _seen(name: str, left: str, right: str, **kw: bool) -> None:
+    def run(spark, d):
+        from veilgrove.queries.models import lineitem2
+
+        vf = lineitem2(spark, d)
+        return A.groups(vf, _hidden_model(vf), **kw).groupBy("grp").agg(F.count("*").alias("n"))
+
+    query(name, f"WITH {sql.LI3} SELECT {_SEEN.format(left=left, right=right)} AS grp, count(*) AS n FROM li GROUP BY 1")(run)
+
+
+_seen("visible_leaves", _LEFT, "3")
+_seen("freerider_groups", "2", "3", free_rider=True)
+_seen("observer_leaves", _LEFT, _RIGHT, target=False)
+
+
+@query("singleton_ratio", f"WITH {sql.LI3}, s AS (SELECT {_SEEN.format(left=_LEFT, right='3')} AS grp, count(*) AS n FROM li GROUP BY 1) SELECT round(avg((n = 1)::INT), 9) AS ratio FROM s")
+def singleton_ratio(spark, d):
+    from veilgrove.queries.models import lineitem2
+
+    vf = lineitem2(spark, d)
+    return A.singleton_ratio(vf, _hidden_model(vf)).select(F.round("ratio", 9).alias("ratio"))
 
 
 @query("components_of_groups", f"WITH {sql.GROUPS} SELECT row_id, min(row_id) OVER (PARTITION BY leaf) AS root FROM g")

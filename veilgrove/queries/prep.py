@@ -94,15 +94,21 @@ def stratified(spark, d):
     return P.stratified_split(t(spark, d, "labels"), "quality", [P.spread(F.col("doc_id"), 3), F.col("doc_id")]).select("doc_id", "is_val")
 
 
-@query("row_subsample", f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY quality ORDER BY {_ORDER}) AS r, count(*) OVER (PARTITION BY quality) AS n FROM labels) WHERE r <= floor(n * 0.8)")
+@query("row_subsample", f"WITH {sql.LI3}, n AS (SELECT floor(count(*) * 0.8)::BIGINT AS n FROM li) SELECT tree::INT AS tree, n FROM n, range(3) t(tree)")
 def row_subsample(spark, d):
-    return P.first_by(t(spark, d, "labels"), ["quality"], [P.spread(F.col("doc_id"), 3), F.col("doc_id")], F.lit(0.8)).select("doc_id")
+    """Rows that each of three trees is grown on."""
+    from veilgrove.plans import grow as G
 
+    m = G.fit_forest(VF.lineitem(spark, d), G.Params(trees=3, depth=0, row_ratio=0.8))
+    return spark.createDataFrame([(x.tree, x.n) for x in m.nodes.values()], "tree int, n long")
 
-@query("column_subsample", "SELECT f AS feature_id, (f >= 32)::INT AS party_id FROM (SELECT f, row_number() OVER (PARTITION BY f >= 32 ORDER BY (f * 7919 + 5) % 1000, f) AS r FROM range(64) t(f)) WHERE r <= 25")
+
+@query("column_subsample", "SELECT f AS feature_id, (f >= 32)::INT AS party_id FROM (SELECT f, row_number() OVER (PARTITION BY f >= 32 ORDER BY ((f + 1)::HUGEINT * 2654435761 + 7 * 40503) % 4294967296) AS r FROM range(64) t(f)) WHERE r <= 25")
 def column_subsample(spark, d):
-    feats = spark.range(64).select(F.col("id").alias("feature_id"), (F.col("id") >= 32).cast("int").alias("party_id"))
-    return P.first_by(feats, ["party_id"], [P.spread(F.col("feature_id"), 5), F.col("feature_id")], F.lit(0.8))
+    from veilgrove.plans import grow as G
+
+    got = G.sampled_features(VF.embeddings(spark, d).features, G.Params(col_ratio=0.8, seed=5), 2)
+    return spark.createDataFrame([(f.feature_id, f.party_id) for f in got], "feature_id long, party_id int")
 
 
 @query("column_alloc", "SELECT f AS feature_id, (r > 19)::INT AS party_id FROM (SELECT f, row_number() OVER (ORDER BY (f * 7919 + 1) % 1000, f) AS r FROM range(64) t(f))")

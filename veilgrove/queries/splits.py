@@ -64,11 +64,6 @@ def rf_min_leaf(spark, d):
     return scored3(spark, d, 2000).groupBy(*KEYS).agg(F.count("*").alias("n"))
 
 
-@query("rf_leaf_value", f"WITH {sql.LI3} SELECT (quantity <= 25)::INT AS side, round(avg((y = 0)::INT), 9) AS p0, round(avg((y = 1)::INT), 9) AS p1, round(avg((y = 2)::INT), 9) AS p2 FROM li GROUP BY 1")
-def rf_leaf_value(spark, d):
-    return VF.lineitem(spark, d).data.groupBy((F.col("quantity") <= 25).cast("int").alias("side")).agg(*[F.round(F.avg((F.col("y") == k).cast("int")), 9).alias(f"p{k}") for k in range(3)])
-
-
 _RANKED = (
     f"WITH {sql.CELLS}, o AS (SELECT feature_id, x, row_number() OVER (PARTITION BY feature_id ORDER BY x) - 1 AS rn, count(*) OVER (PARTITION BY feature_id) AS n FROM cells), "
     "q AS (SELECT DISTINCT feature_id, n, i, i / 8.0::DOUBLE * n - 0.5 AS at FROM o, range(1, 9) t(i)), "
@@ -119,12 +114,6 @@ def xgb_leaf_weight(spark, d):
     return by.select("side", F.round(S.leaf_weight(F.col("g"), F.col("h")), 9).alias("weight"))
 
 
-@query("min_child_weight", f"WITH {sql.XGB} SELECT party_id, feature_id, count(*) AS n FROM scored WHERE hl >= 2500 AND ht - hl >= 2500 GROUP BY ALL")
-def min_child_weight(spark, d):
-    got = xgb_scored(spark, d).where((F.col("cum_h0") >= 2500) & (F.col("tot_h0") - F.col("cum_h0") >= 2500))
-    return got.groupBy(*KEYS).agg(F.count("*").alias("n"))
-
-
 _RAW = "(CASE WHEN quantity <= 25 THEN 0.4 ELSE -0.3 END + discount)"
 
 

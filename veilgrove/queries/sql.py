@@ -1,5 +1,19 @@
 """Pieces of SQL that the oracles share."""
 
+from __future__ import annotations
+
+
+def after(name: str, with_list: str) -> str:
+    """The part of a list of common tables that follows the table ``name``, its comma first."""
+    at = with_list.index(f"{name} AS (") + len(name) + 4
+    depth = 0
+    for k in range(at, len(with_list)):
+        depth += (with_list[k] == "(") - (with_list[k] == ")")
+        if not depth:
+            return with_list[k + 1 :]
+    return ""
+
+
 LI3 = (
     "li AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y, "
     "CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS y2, l_quantity AS quantity, l_extendedprice AS extendedprice, l_discount AS discount, l_tax AS tax FROM lineitem)"
