@@ -1,6 +1,9 @@
 import random
 import re
 
+import regex
+
+from tests.llm import heldout
 from veilgrove.llm import pii
 
 
@@ -64,3 +67,63 @@ def test_no_user_functions_and_no_shuffle(spark):
     plan = pii.personal_data(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
     assert pii.personal_data(df.limit(0)).count() == 0
+
+
+def test_recall_and_precision_on_texts_of_another_maker(spark):
+    data = heldout.texts(heldout.personal, heldout.harmless, 400, 92)
+    got = pii.personal_data(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id long, text string")).orderBy("doc_id").collect()
+    there = caught = found = wrong = 0
+    for (_, spans), r in zip(data, got, strict=True):
+        own = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s]
+        for a, b in spans:
+            there += 1
+            caught += len({k for x, y in own for k in range(max(a, x), min(b, y))}) >= 0.8 * (b - a)
+        found += len(own)
+        wrong += sum(not any(a < y and x < b for a, b in spans) for x, y in own)
+    assert caught / there >= 0.9 and wrong / found <= 0.1
+
+
+def brute_added(model, text):
+    """Added candidates one by one, with features by SQL's definitions read anew in Python, and the merge of spans by hand."""
+    base = brute_base(text)
+    luck = []
+    for k, g in enumerate(pii.MORE, len(pii.BASE)):
+        pattern = regex.compile(g.pattern)
+        ends = 0
+        ms = list(pattern.finditer(text))
+        for i, m in enumerate(ms):
+            pre, post = text[ends : m.start()][-40:], text[m.end() : ms[i + 1].start() if i + 1 < len(ms) else len(text)][:12]
+            ends = m.end()
+            x, low = m[0], pre.lower()
+            digits = regex.sub("[^0-9]", "", x)
+            hit = lambda p, t: float(bool(regex.search(p, t)))
+            sql = lambda name: pii.FEATURES[name].split("RLIKE '")[1].rsplit("')", 1)[0].replace("\\\\", "\\")
+            row = {
+                "digits": len(digits), "length": len(x), "blanks": x.count(" "), "hyphens": x.count("-"), "points": x.count(".") + x.count("/"), "upper": len(regex.findall("[A-Z]", x)), "distinct_digits": len(set(digits)) or 1,
+                "joined_before": hit(sql("joined_before"), pre), "joined_after": hit(sql("joined_after"), post), "money_before": hit(sql("money_before"), pre), "unit_after": hit(sql("unit_after"), post),
+                **{n: hit(sql(n), low) for n in ("call", "identity", "bank", "contact", "machine", "counted", "counted_near")}, **{f"is_{h.kind}": float(h is g) for h in pii.MORE},
+            }
+            if model.score({n: float(v) for n, v in row.items()}) >= model.thresholds[g.kind]:
+                luck.append((m.start(), k, m.end()))
+    out, to = [], -1
+    for s, k, e in sorted(base + luck):
+        if k < len(pii.BASE) or e > to:
+            out.append((s, k, e))
+            to = max(to, e)
+    return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in out)
+
+
+def test_added_spans_and_merge_against_brute_force(spark):
+    model = pii.fit(spark)
+    data = [t for t, _ in heldout.texts(heldout.personal, heldout.harmless, 120, 93)] + [t for t, _ in pii.training_texts(120, 5)]
+    got = pii.personal_data(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for t, r in zip(data, got, strict=True):
+        assert r.spans == brute_added(model, t), t
+
+
+def test_many_matches_and_repeated_rows(spark):
+    text = "me@x.yz, call (386) 555-3733; " * 3000
+    got = pii.personal_data(spark.createDataFrame([(1, text), (1, text), (2, "x")], "doc_id long, text string")).collect()
+    assert sorted(r.n_email for r in got) == [0, 3000, 3000]
+    one, two = (r.spans for r in got if r.doc_id == 1)
+    assert one == two and one.count("phone_local") == 3000

@@ -11,6 +11,10 @@ the very same expressions, so a feature has one definition.
 Everything happens inside the row: no user function, no shuffle.  Places come
 from splitting a text by a generator's pattern: the gaps and the matches, in
 turn, make up the text, so starts are running sums of lengths in code points.
+Running sums and maxima are blocked (``_running``), so the work is in proportion
+to a text's matches.  The text around a candidate is the last 40 characters of
+the gap before it and the first 12 of the gap after it, gaps being those between
+matches of the same kind.
 Patterns are written so that Java's engine neither recurses nor restarts inside
 a run: possessive repeats, and starts only where a run starts or a match ended.
 
@@ -77,13 +81,14 @@ FEATURES = {
     "joined_before": "int(c.pre RLIKE '[A-Za-z0-9_/=.-]$')",
     "joined_after": "int(c.post RLIKE '^[A-Za-z0-9_/=%-]')",
     "money_before": "int(c.pre RLIKE '[$€£]\\\\s?$')",
-    "unit_after": "int(c.post RLIKE '^\\\\s?(%|kg|km|cm|mm|GB|MB|USD|EUR|rows|units)')",
+    "unit_after": "int(c.post RLIKE '^\\\\s?(%|kg|km|cm|mm|GB|MB|USD|EUR|rows|units|people|copies|users|times|years|items|words|pages|dollars|euros)')",
     "call": "int(lower(c.pre) RLIKE '(phone|tel|call|mobile|cell|fax|whatsapp|t[eé]l[eé]fon)')",
     "identity": "int(lower(c.pre) RLIKE '(ssn|social|passport|licen[cs]e|national|identity|dni|ausweis)')",
     "bank": "int(lower(c.pre) RLIKE '(iban|account|bank|konto|compte|cuenta|card|swift)')",
     "contact": "int(lower(c.pre) RLIKE '(mail|contact|write|reach|kontakt)')",
     "machine": "int(lower(c.pre) RLIKE '(mac|device|ethernet|wlan|bluetooth)')",
     "counted": "int(lower(c.pre) RLIKE '(order|invoice|item|part|isbn|issn|version|page|serial|sku|total|date|born|id)\\\\W*$')",
+    "counted_near": "int(lower(c.pre) RLIKE '(order|invoice|item|part|isbn|issn|serial|sku|total|sum|about|around|nearly|over|cost|count|version|page)\\\\W+(\\\\w+\\\\W+){0,2}$')",
     **{f"is_{g.kind}": f"int(c.k = {len(BASE) + k})" for k, g in enumerate(MORE)},
 }
 
@@ -156,12 +161,15 @@ def boost(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 40, dept
 
 
 def calibrate(scores: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """Least score from which on a share of ``precision`` is right; infinite where none is."""
+    """A score from which on a share of ``precision`` is right: halfway to the next lower one, or well below all if none is left out; infinite where none is."""
     order = np.argsort(-scores, kind="stable")
     right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
     last = np.append(scores[order][1:] != scores[order][:-1], True) if len(y) else np.empty(0, bool)
     good = np.flatnonzero((right >= precision) & last)
-    return float(scores[order][good[-1]]) if len(good) else float("inf")
+    if not len(good):
+        return float("inf")
+    least, rest = float(scores[order][good[-1]]), scores[order][good[-1] + 1 :]
+    return (least + float(rest[0])) / 2 if len(rest) else min(0.0, least - 2)
 
 
 # -- candidates -----------------------------------------------------------------------------------
@@ -177,17 +185,38 @@ def _candidates(src: DataFrame, id_col: str, gens: tuple[Generator, ...], first:
         cuts.append(F.expr(f"CASE WHEN {g.gate} THEN regexp_extract_all(t, '{quote(g.pattern)}', 0) ELSE cast(array() AS array<string>) END").alias(f"m_{g.kind}"))
         cuts.append(F.expr(f"CASE WHEN {g.gate} THEN split(t, '{quote(g.pattern)}', -1) ELSE cast(array() AS array<string>) END").alias(f"p_{g.kind}"))
     split = src.select(*keep, *cuts)
+    lengths = [F.expr(f"transform(m_{g.kind}, (x, i) -> length(p_{g.kind}[i]) + length(x))").alias(f"l_{g.kind}") for g in gens]
+    split = split.select("*", *lengths)
+    split = split.select("*", *[_base(f"l_{g.kind}", "0", "+").alias(f"a_{g.kind}") for g in gens])
+
     def places(k: int, kind: str) -> Column:
         m, p = f"m_{kind}", f"p_{kind}"
-        step = (
-            f"named_struct('a', concat(acc.a, array(named_struct('s', acc.at + length({p}[i]), 'k', {k}, 'e', acc.at + length({p}[i]) + length({m}[i]), 'x', {m}[i], "
-            f"'pre', right({p}[i], 40), 'post', left({p}[i + 1], 12)))), 'at', acc.at + length({p}[i]) + length({m}[i]))"
-        )
-        none = f"cast(array() AS {_SPAN})"
-        return F.expr(f"CASE WHEN size({m}) = 0 THEN {none} ELSE aggregate(sequence(0, size({m}) - 1), named_struct('a', {none}, 'at', 0), (acc, i) -> {step}, acc -> acc.a) END")
+        start = f"{_running(f'l_{kind}', f'a_{kind}', '0', '+')} + length({p}[i])"
+        fields = f"'s', {start}, 'k', {k}, 'e', {start} + length(x), 'x', x, 'pre', right({p}[i], 40), 'post', left({p}[i + 1], 12)"
+        return F.expr(f"transform({m}, (x, i) -> named_struct({fields}))")
+
+    return split.select(*keep, *[places(k, g.kind).alias(f"c_{g.kind}") for k, g in enumerate(gens, first)])
+
+
+#: Elements of a block of a running sum or maximum.
+_BLOCK = 64
+
+
+def _both(op: str, a: str, b: str) -> str:
+    return f"{a} + {b}" if op == "+" else f"greatest({a}, {b})"
+
+
+def _base(col: str, zero: str, op: str) -> Column:
+    """What comes before each block of the array ``col``: a list of its blocks' running totals, short, so its growth by copies is cheap."""
+    total = f"aggregate(slice({col}, b * {_BLOCK} + 1, {_BLOCK}), {zero}, (u, v) -> {_both(op, 'u', 'v')})"
+    step = f"named_struct('a', concat(acc.a, array(acc.t)), 't', {_both(op, 'acc.t', total)})"
+    blocks = f"sequence(0, (size({col}) - 1) div {_BLOCK})"
+    return F.expr(f"CASE WHEN size({col}) = 0 THEN cast(array() AS array<int>) ELSE aggregate(transform({blocks}, b -> cast(b AS int)), named_struct('a', cast(array() AS array<int>), 't', {zero}), (acc, b) -> {step}, acc -> acc.a) END")
+
 
-    spans = [places(k, g.kind).alias(f"c_{g.kind}") for k, g in enumerate(gens, first)]
-    return split.select(*keep, *spans)
+def _running(col: str, base: str, zero: str, op: str) -> str:
+    """SQL of the sum or maximum of the elements of ``col`` before place ``i``."""
+    return f"aggregate(slice({col}, (i div {_BLOCK}) * {_BLOCK} + 1, i % {_BLOCK}), element_at({base}, cast(i div {_BLOCK} AS int) + 1), (u, v) -> {_both(op, 'u', 'v')})"
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -215,21 +244,21 @@ def training_texts(n: int = 700, seed: int = 11) -> list[tuple[str, list[tuple[i
         text, spans = "", []
         for _ in range(rng.randint(1, 3)):
             text += fill(2, 6) + " "
-            kind = rng.randrange(14)
+            kind = rng.randrange(16)
             s = {
-                0: lambda: f"({d(3)}) {d(3)}-{d(4)}", 1: lambda: f"{d(3)}-{d(3)}-{d(4)}", 2: lambda: f"{d(3)}-{d(2)}-{d(4)}", 3: lambda: pick(["DE", "FR", "ES", "GB"]) + d(2) + "".join(" " + d(4) for _ in range(4)),
-                4: lambda: f"{word()}.{d(2)} [at] {word()}.example{pick(['.', ' (dot) '])}com", 5: lambda: ":".join(pick("0123456789abcdef") + pick("0123456789abcdef") for _ in range(6)), 6: lambda: d(rng.choice([8, 9, 10, 11])),
+                0: lambda: f"({d(3)}) {d(3)}-{d(4)}", 1: lambda: pick([f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}"]), 2: lambda: f"{d(3)}-{d(2)}-{d(4)}", 3: lambda: pick(["DE", "FR", "ES", "GB"]) + d(2) + "".join(" " + d(4) for _ in range(4)),
+                4: lambda: f"{word()}.{d(2)} [at] {word()}.example{pick(['.', ' (dot) '])}com", 5: lambda: pick(":-").join(pick("0123456789abcdef") + pick("0123456789abcdef") for _ in range(6)), 6: lambda: d(rng.choice([8, 9, 10, 11])),
             }.get(kind)
             if s:
                 s = s()
-                lead = [["phone ", "call ", "Tel: ", "mobile ", ""], ["phone: ", "fax ", "cell ", ""], ["SSN ", "social security ", ""], ["IBAN ", "account ", "Konto ", ""], ["write to ", "mail ", ""], ["MAC ", "device ", ""], ["passport ", "national id ", "identity card ", "Tel. "]][kind]
+                lead = [["phone ", "call ", "Tel: ", "mobile ", "phone number is ", ""], ["phone: ", "fax ", "cell ", "mobile is ", ""], ["SSN ", "social security ", "social security number is ", ""], ["IBAN ", "account ", "Konto ", "account is ", ""], ["write to ", "mail ", ""], ["MAC ", "device ", "ethernet address was ", ""], ["passport ", "national id ", "identity card ", "Tel. ", "passport number is "]][kind]
                 head = pick(lead)
                 spans.append((len(text) + len(head), len(text) + len(head) + len(s)))
                 text += head + s + pick([" ", ". ", ", "])
             else:
                 text += pick([
                     lambda: f"order {d(3)} {d(3)} {d(4)} ", lambda: f"invoice {d(8)}", lambda: f"${d(3)},{d(3)} ", lambda: f"{d(4)}-{d(2)}-{d(2)} ", lambda: f"isbn {d(3)}-{d(1)}-{d(4)}-{d(4)}-{d(1)} ", lambda: f"x{d(9)}y ",
-                    lambda: f"part {d(3)}-{d(2)}-{d(4)} ", lambda: f"total {d(9)} rows ", lambda: f"{d(2)}/{d(2)}/{d(4)} ", lambda: f"v{d(1)}.{d(2)}.{d(4)} ", lambda: f"{d(12)} ", lambda: f"serial AB{d(2)} {d(4)} {d(4)} ",
+                    lambda: f"part {d(3)}-{d(2)}-{d(4)} ", lambda: f"total {d(9)} rows ", lambda: f"{d(2)}/{d(2)}/{d(4)} ", lambda: f"v{d(1)}.{d(2)}.{d(4)} ", lambda: f"{d(12)} ", lambda: f"{pick(['about', 'nearly', 'over'])} {d(3)} {d(3)} {d(3)} {pick(['people', 'copies', word()])} ", lambda: f"{pick(['total', 'sum', 'count'])} {pick(['was', 'of', 'is'])} {d(rng.choice([8, 9, 10]))} ", lambda: f"order {pick(['no', 'number', ''])} {d(8)} ", lambda: f"serial AB{d(2)} {d(4)} {d(4)} ",
                 ])()
         out.append((text + fill(1, 4), spans))
     return out
@@ -270,11 +299,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chosen = F.expr(f"transform(filter(f, f -> {total} >= {limit}), f -> named_struct('s', f.s, 'k', f.k, 'e', f.e))")
     base = F.sort_array(F.concat(*[F.col(f"b_{g.kind}") for g in BASE]))
     picked = scored.select("id", *[F.size(f"b_{g.kind}").cast("long").alias(f"n_{g.kind}") for g in BASE], base.alias("b"), chosen.alias("m"))
-    # In order of start and kind, an added span is kept if it goes beyond all spans before it.
-    merged = F.expr(
-        f"aggregate(sort_array(concat(b, m)), named_struct('a', cast(array() AS array<struct<s:int,k:int,e:int>>), 'to', -1), (acc, x) -> CASE WHEN x.k >= {len(BASE)} AND x.e <= acc.to THEN acc "
-        "ELSE named_struct('a', concat(acc.a, array(x)), 'to', greatest(acc.to, x.e)) END, acc -> acc.a)"
-    )
+    # In order of start and kind, an added span is kept if it goes beyond all spans before it, kept or not: those left out end no later than one that is kept.
+    picked = picked.withColumn("o", F.sort_array(F.concat("b", "m"))).withColumn("e", F.transform("o", lambda x: x["e"])).withColumn("g", _base("e", "-1", "max"))
+    merged = F.expr(f"filter(o, (x, i) -> x.k < {len(BASE)} OR x.e > {_running('e', 'g', '-1', 'max')})")
     counts = [f"n_{g.kind}" for g in BASE]
     kept = picked.select("id", *counts, "b", F.when(F.size("m") == 0, F.col("b")).otherwise(merged).alias("a"))
     return kept.select(F.col("id").alias(id_col), *counts, (F.size("a") - F.size("b")).cast("long").alias("n_more"), _joined("b").alias("base"), _joined("a").alias("spans"))
