@@ -31,7 +31,7 @@ def brute(docs, items):
     for i, item in items:
         it = brute_tokens(item)
         size = min(len(it), D.WINDOW)
-        if size < D.SHORTEST:
+        if not size:
             continue
         wins = [it[k : k + size] for k in range(len(it) - size + 1)]
         for d, text in docs:
@@ -49,7 +49,7 @@ def brute(docs, items):
             matched, same = set(), True
             for places, slots in by.values():
                 flat = {pair for a, b in slots for pair in zip(a, b, strict=True)}
-                if len({a for a, _ in flat}) == len(flat):
+                if len({a for a, _ in flat}) == len(flat) and (size == D.WINDOW or all(a == b for a, b in flat)):
                     matched |= places
                     same &= all(a == b for a, b in flat)
             if len(matched) >= D.COVERAGE * len(wins) and matched:
@@ -107,3 +107,10 @@ def test_both_ways_of_joining_agree(spark, monkeypatch):
     one = sorted(map(str, D.contaminated(d, b).collect()))
     monkeypatch.setattr(D, "BROADCAST_WINDOWS", 0)
     assert sorted(map(str, D.contaminated(d, b).collect())) == one
+
+
+def test_short_items_count_with_their_own_values(spark):
+    bench = spark.createDataFrame([(1, "What is 42?"), (2, "Zanzibar"), (3, ""), (4, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so WHAT is 42, then"), (2, "what is 43?"), (3, "they went to zanzibar by boat"), (4, ""), (5, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()}
+    assert got == {(1, 1), (3, 2)}

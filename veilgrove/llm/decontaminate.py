@@ -21,10 +21,10 @@ The benchmark's windows are broadcast only if they are no more than
 functions are used.
 
 Defined cases: a null text is the empty one, which holds nothing and is in no
-document; items of fewer than ``SHORTEST`` tokens are not looked for; items
-shorter than a window are looked for as one window of their own length; repeated
-rows of a document are one document; rows without an id are found as the id
-null; empty tables give no rows; other columns are not read.
+document; items shorter than a window, however short, are looked for as one window
+of their own length, with the very values that they have, since so short a frame
+tells nothing; repeated rows of a document are one document; rows without an id
+are found as the id null; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from veilgrove.llm.common import cut, text_or_empty
 
-WINDOW, SHORTEST, COVERAGE = 8, 5, 0.5
+WINDOW, COVERAGE = 8, 0.5
 BROADCAST_WINDOWS = 500_000
 
 #: Private-use characters that stand for a number, a name and a unit.
@@ -126,11 +126,11 @@ def windows(df: DataFrame, keep: list[str], size: int, context: bool = False) ->
 
 
 def _benchmark(bench: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, list[int]]:
-    """Windows of all items, and the sizes of windows that there are (at most four)."""
+    """Windows of all items, and the sizes of windows that there are."""
     tok = canonical(text_or_empty(bench, item_col, text_col).select(F.col(item_col).alias("item"), F.col(text_col).alias("_text")), "_text").drop("_text")
-    tok = readings(tok).withColumn("size", F.least(F.size("_tok"), F.lit(WINDOW))).where(F.col("size") >= SHORTEST)
+    tok = readings(tok).withColumn("size", F.least(F.size("_tok"), F.lit(WINDOW))).where(F.col("size") >= 1)
     tok = tok.withColumn("n_windows", F.size("_tok") - F.col("size") + 1)
-    parts = [windows(tok.where(F.col("size") == k), ["item", "size", "n_windows"], k, True) for k in range(SHORTEST, WINDOW + 1)]
+    parts = [windows(tok.where(F.col("size") == k), ["item", "size", "n_windows"], k, True) for k in range(1, WINDOW + 1)]
     all_of = parts[0]
     for p in parts[1:]:
         all_of = all_of.unionByName(p)
@@ -148,10 +148,10 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     for size in sizes or [WINDOW]:
         own = windows(tok, ["id"], size)
         hit = own.join(known.where(F.col("size") == size), "hash")
-        hit = hit.select("id", "item", "n_windows", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal"), "item_slots", "slots")
+        hit = hit.select("id", "item", "size", "n_windows", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal"), "item_slots", "slots")
         found = hit if found is None else found.unionByName(hit)
     pairs = F.when(F.size("item_slots") > 0, F.arrays_zip("item_slots", "slots"))
-    once = found.groupBy("id", "item", "n_windows", "diagonal").agg(F.collect_set(F.struct(F.col("item_place").alias("place"), pairs.alias("pairs"))).alias("found"))
+    once = found.groupBy("id", "item", "size", "n_windows", "diagonal").agg(F.collect_set(F.struct(F.col("item_place").alias("place"), pairs.alias("pairs"))).alias("found"))
     once = once.withColumn("pairs", F.array_distinct(F.flatten(F.filter(F.transform("found", lambda w: w["pairs"]), lambda p: p.isNotNull()))))
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"]))) == F.size("pairs")
     once = once.where(consistent).withColumn("values", F.array_distinct(F.transform("pairs", lambda p: F.struct(p["item_slots"]["value"].alias("item"), p["slots"].alias("doc")))))
@@ -162,5 +162,5 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     once = once.withColumn("found", F.when(F.col("odd").isNull(), F.col("found")).otherwise(left)).where(F.size("found") > 0)
     same = F.forall("found", lambda w: F.coalesce(F.forall(w["pairs"], lambda p: p["item_slots"]["value"] == p["slots"]), F.lit(True)))
     places = F.array_distinct(F.transform("found", lambda w: w["place"]))
-    held = once.select("id", "item", "n_windows", places.alias("places"), same.alias("same")).groupBy("id", "item", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_matched"), F.bool_and("same").alias("same_values"))
+    held = once.select("id", "item", "size", "n_windows", places.alias("places"), same.alias("same")).where((F.col("size") == WINDOW) | F.col("same")).groupBy("id", "item", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_matched"), F.bool_and("same").alias("same_values"))
     return held.where(F.col("n_matched") >= coverage * F.col("n_windows")).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_matched", "n_windows", "same_values")
