@@ -8,7 +8,6 @@ ROWS = [(1, "All rights reserved.\na b c d e\nx y"), (2, "reserved. All rights\n
 @pytest.mark.parametrize(
     ("kw", "want"),
     [
-        ({}, {1: ROWS[0][1], 2: "x z", 3: "x y w"}),
         ({"cold": 1}, {1: ROWS[0][1], 2: "x z", 3: "x y w"}),
         ({"min_words": 5}, dict(ROWS)),
     ],

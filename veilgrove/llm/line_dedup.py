@@ -11,24 +11,30 @@ words match only an equal set in their own document.  Lines without a word stay.
 2. Equal sets are collapsed to their first line by a partial aggregation.
 3. Every set's rarest words, as many as the prefix filter needs, are the join
    keys.  Candidates must pass the length filter, the positional filter, and a
-   bound on the difference from either set's word counts in 32 buckets, modulo
-   16; all three keep every true pair.
-4. Groups of up to ``COLD`` rows are compared in whole; each line keeps one
-   candidate for each key, which is enough where it is confirmed.  In larger
-   groups, such as copies with a word changed, all lines are first held against
-   the group's earliest, which is linear and settles nearly all.
-5. Candidates are verified on the full word sets.  Lines that had a candidate or
-   a large group and are still not settled are joined with everything, all their
-   candidates verified.  So the result is exact.
+   bound on the difference from either set's word counts in buckets, modulo 4
+   (``SIGNATURE``); all three keep every true pair.  Sets of up to three words
+   are similar to equal ones only, so they have no key.
+4. Groups of up to ``COLD`` rows are compared in whole, larger ones in blocks of
+   about that size, each with ``PIVOTS`` early rows of the group.  Each line keeps
+   its first ``TRIES`` candidates for each key.  The earliest of them is verified
+   on the full word sets, which settles nearly all; then those of the lines that
+   it does not settle.  A line is done where no key has more.
+5. For the others, lines of groups whose pairs lie about the threshold, the keys
+   with more, and those with blocks, are searched in whole with wide signatures
+   (``WIDE``) that tell nearly all dissimilar pairs: the earliest candidate is
+   verified, and where it fails, all of them.  So the result is exact, and no
+   step lists the pairs of a group.
 
 Words are compared by 64-bit hashes and equal sets by 128 bits; that is the only
 approximation.  Only fixed-size or size-checked things reach the driver or are
 broadcast: the sketch, the hot keys, the wanted lines.
 
 Defined cases: a null text is the empty one; a null id comes before all others;
-rows with one id are one document and keep or lose the same lines; a text that
-loses all lines is the empty text; an empty table gives no rows; other columns
-stay as they are.  Ids are integers.
+rows with one id but different texts are different documents, in the order of a
+hash of the text; rows equal in both are one document and keep or lose the same
+lines; a text that loses all lines is the empty text; lines of any length count;
+an empty table gives no rows; all other columns stay as they are, whatever their
+names.  Ids are integers.
 """
 
 from __future__ import annotations
@@ -37,20 +43,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgrove.llm.common import bounded_batches, cut, ddl, release, stored
+from veilgrove.llm.common import bounded_batches, cut, ddl, free, release, similar_pairs, stored
 
 THRESHOLD = (4, 5)
 #: Distinct words below which a line matches only in its own document; none by default.
 MIN_WORDS = 0
-#: Counters of the rarity sketch; rows of a group that is compared in whole; hot keys, unsettled rows, wanted lines and repeated sets that may be broadcast.
-SKETCH, COLD = 1 << 16, 4096
-BROADCAST_KEYS, BROADCAST_ROWS, BROADCAST_LINES, BROADCAST_SETS = 100_000, 200_000, 2_000_000, 500_000
+#: Counters of the rarity sketch; rows of a group or block; early rows of a large group that each of its blocks has.
+SKETCH, COLD, PIVOTS = 1 << 16, 4096, 16
+#: Candidates that a line keeps for each key.
+TRIES = 4
+#: 64-bit words of a line's signature, 32 buckets to a word: of every line, and of those looked up again.
+SIGNATURE, WIDE = 2, 16
+#: Hot keys, unsettled lines, wanted lines, repeated sets that may be broadcast; lines that meet one earlier line before its set is sent in copies.
+BROADCAST_KEYS, BROADCAST_ROWS, BROADCAST_LINES, BROADCAST_SETS, MET = 500_000, 100_000, 2_000_000, 500_000, 256
 #: Bytes of text that are taken apart at a time.
 CHUNK = 1 << 17
-_NO_ID = -(2**63)
 
 
 # -- words of lines, without a loop over words ------------------------------------------------------
@@ -160,33 +170,38 @@ def ordered_sets(h: np.ndarray, line: np.ndarray, rank: np.ndarray) -> tuple[np.
     return o2[keep], l2[keep]
 
 
-def bucket_counts(o: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each line in 32 buckets, modulo 16, in the nibbles of two numbers."""
-    bucket = (_mix(o, 5) & np.uint64(31)).astype(np.int64)
-    counts = (np.bincount(line * 32 + bucket, minlength=lines * 32).reshape(lines, 32) & 15).astype(np.uint64)
-    shift = np.uint64(4) * np.arange(16, dtype=np.uint64)
-    return (counts[:, :16] << shift).sum(1, dtype=np.uint64), (counts[:, 16:] << shift).sum(1, dtype=np.uint64)
+_LOW = np.uint64(0x5555555555555555)
 
 
-_TOP, _BYTES, _ONES = np.uint64(0x8888888888888888), np.uint64(0x0F0F0F0F0F0F0F0F), np.uint64(0x0101010101010101)
+def signature(o: np.ndarray, line: np.ndarray, lines: int, words: int) -> np.ndarray:
+    """Words of each line in 32 buckets to a number, modulo 4, in pairs of bits; ``line`` ascends."""
+    size = 32 * words
+    bucket = (_mix(o, 5) & np.uint64(size - 1)).astype(np.int64)
+    shift = np.uint64(2) * np.arange(32, dtype=np.uint64)
+    out, step = np.empty((lines, words), np.uint64), max(1, (1 << 20) // size)
+    for a in range(0, lines, step):
+        b = min(lines, a + step)
+        i, j = np.searchsorted(line, [a, b])
+        counts = np.bincount((line[i:j] - a) * size + bucket[i:j], minlength=(b - a) * size).reshape(b - a, words, 32) & 3
+        out[a:b] = (counts.astype(np.uint64) << shift).sum(2, dtype=np.uint64)
+    return out
 
 
-def nibble_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Sum over nibbles of their distance modulo 16: no more than words that only one of two sets has."""
-    d = ((x | _TOP) - (y & ~_TOP)) ^ ((x ^ ~y) & _TOP)
-    back = (d & _TOP) >> np.uint64(3)
-    a = (d ^ (back * np.uint64(15))) + back
-    return (((a & _BYTES) + ((a >> np.uint64(4)) & _BYTES)) * _ONES >> np.uint64(56)).astype(np.int32)
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sum over buckets of their distance modulo 4: no more than the words that only one of two sets has."""
+    d = x ^ y ^ ((~x & y & _LOW) << np.uint64(1))
+    one, two = d & _LOW, (d >> np.uint64(1)) & ~d & _LOW
+    return (np.bitwise_count(one).astype(np.int32) + 2 * np.bitwise_count(two).astype(np.int32)).sum(1, dtype=np.int32)
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
-    """Rarest words of which a similar set must share one."""
+    """Rarest words of which a similar set that is not equal must share one; none if there can be no such set."""
     a, b = THRESHOLD
-    return n - -(-a * n // b) + 1
+    return np.where(b * n >= a * (n + 1), n - -(-a * n // b) + 1, 0)
 
 
 def line_sets(docs: DataFrame, rank: np.ndarray, hot_from: int, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each line with a word: doc, line, n, s1, s2 (the set's 128-bit key), b1, b2 (counts in 32 buckets), prefix, perhaps.
+    """A row for each line with a word: doc, line, n, s1, s2 (the set's 128-bit key), b1, b2 (the signature), prefix, perhaps.
 
     ``perhaps`` is the part of the prefix whose words the sketch counts at rank
     ``hot_from`` or above; only those can be in a large group.
@@ -194,7 +209,7 @@ def line_sets(docs: DataFrame, rank: np.ndarray, hot_from: int, id_col: str, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(id_col).cast(pa.int64()).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+            ids = b.column(id_col).to_numpy(zero_copy_only=False)
             for at, _, raw, starts, row, number in chunks(b, text_col):
                 o, line = ordered_sets(*word_hashes(raw, starts), rank)
                 if not len(o):
@@ -207,7 +222,7 @@ def line_sets(docs: DataFrame, rank: np.ndarray, hot_from: int, id_col: str, tex
                 short = n < min_words
                 s1[short] += _mix(doc[short].view(np.uint64), 3)
                 s2[short] += _mix(doc[short].view(np.uint64), 4)
-                b1, b2 = bucket_counts(o, np.repeat(np.arange(len(n)), n), len(n))
+                b1, b2 = np.ascontiguousarray(signature(o, np.repeat(np.arange(len(n)), n), len(n), SIGNATURE).T)
                 p = np.where(short, 0, prefix_length(n))
                 ends = np.cumsum(p)
                 take = np.repeat(edge - (ends - p), p) + np.arange(ends[-1])
@@ -222,55 +237,19 @@ def line_sets(docs: DataFrame, rank: np.ndarray, hot_from: int, id_col: str, tex
 
 
 # -- candidates ---------------------------------------------------------------------------------------
-def _far(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
-    """True where the filters tell that two sets, whose first common word is at these places, are not similar."""
-    a, b = THRESHOLD
-    both = x["n"] + y["n"]
-    far = b * np.minimum(x["n"], y["n"]) < a * np.maximum(x["n"], y["n"])
-    far |= (a + b) * np.minimum(x["n"] - x["place"], y["n"] - y["place"]) < a * both
-    differ = nibble_distance(x["b1"], y["b1"]) + nibble_distance(x["b2"], y["b2"])
-    return far | ((a + b) * differ > (b - a) * both)
-
-
-_FIELDS = ("n", "b1", "b2", "place")
-
-
-def _column(b: pa.RecordBatch, name: str) -> np.ndarray:
-    v = b.column(name).to_numpy(zero_copy_only=False)
-    return v.view(np.uint64) if name.lstrip("xy_") in ("b1", "b2") else v
-
-
-def joined_candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
-    """doc, line, doc2, line2: all pairs that share a key and pass the filters, for keys or lines that are too many for one group."""
-    a, b = THRESHOLD
-    near = F.expr(
-        f"{b} * least(x.n, y.n) >= {a} * greatest(x.n, y.n) AND {a + b} * least(x.n - x.place, y.n - y.place) >= {a} * (x.n + y.n) "
-        "AND (x.doc < y.doc OR (x.doc = y.doc AND x.line < y.line))"
-    )
-    pairs = earlier.alias("x").join(later.alias("y"), F.col("x.key") == F.col("y.key")).where(near)
-    pairs = pairs.select("y.doc", "y.line", F.col("x.doc").alias("doc2"), F.col("x.line").alias("line2"), *[F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "xy" for c in _FIELDS])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in batches:
-            x, y = ({c: _column(r, f"{t}_{c}") for c in _FIELDS} for t in "xy")
-            yield r.select(["doc", "line", "doc2", "line2"]).filter(pa.array(~_far(x, y)))
-
-    return pairs.mapInArrow(run, "doc bigint, line int, doc2 bigint, line2 int").distinct()
-
-
-def compare_groups(key: np.ndarray, sets: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(later row, earlier row): one candidate, if there is any, for each row of rows sorted by key, doc and line.
+def compare_groups(group: np.ndarray, c: dict[str, np.ndarray], most: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(later row, earlier row) of rows sorted by group, doc and line: the first ``most`` candidates of each row that is ``later``, all for 0.
 
-    The filters by length and place come first; the counts are compared only
+    The filters by length and place come first; signatures are compared only
     where these two leave a pair.
     """
     a, b = THRESHOLD
-    n, b1, b2 = sets["n"].astype(np.int32), sets["b1"], sets["b2"]
-    left = (a + b) * (n - sets["place"].astype(np.int32))
-    at = np.arange(len(key))
-    start = np.searchsorted(key, key, "left")
-    back = at - start
-    todo = np.flatnonzero(back > 0)
+    n, sig, doc, line = c["n"].astype(np.int32), c["sig"], c["doc"], c["line"]
+    left = (a + b) * (n - c["place"].astype(np.int32))
+    start = np.searchsorted(group, group, "left")
+    back = np.arange(len(group)) - start
+    todo = np.flatnonzero(back > 0 if "later" not in c else (back > 0) & c["later"])
+    found = np.zeros(len(group), np.int32)
     later, earlier = [], []
     d = 0
     while len(todo):
@@ -280,45 +259,133 @@ def compare_groups(key: np.ndarray, sets: dict[str, np.ndarray]) -> tuple[np.nda
         both = x + y
         near = np.flatnonzero((b * np.minimum(x, y) >= a * np.maximum(x, y)) & (np.minimum(left[todo], left[other]) >= a * both))
         p, q = todo[near], other[near]
-        hit = (a + b) * (nibble_distance(b1[p], b1[q]) + nibble_distance(b2[p], b2[q])) <= (b - a) * both[near]
-        later.append(p[hit])
-        earlier.append(q[hit])
+        hit = (a + b) * differing(sig[p], sig[q]) <= (b - a) * both[near]
+        hit &= (doc[p] != doc[q]) | (line[p] != line[q])
+        p, q = p[hit], q[hit]
+        later.append(p)
+        earlier.append(q)
+        found[p] += 1
         d += 1
         on = back[todo] > d
-        on[near[hit]] = False
+        if most:
+            on &= found[todo] < most
         todo = todo[on]
     return (np.concatenate(later), np.concatenate(earlier)) if later else (np.empty(0, int), np.empty(0, int))
 
 
-def cold_candidates(rows: DataFrame, parts: int) -> DataFrame:
-    """doc, line, doc2, line2: one earlier candidate of a line for each key that its group has one for."""
+_ROW = ("key", "doc", "line", "n", "place")
+_PAIR = "doc bigint, line int, doc2 bigint, line2 int, more int"
+
+
+def _columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The row's columns, and its signature as a row of a matrix: from the two longs or from the binary that it has."""
+    out = {c: b.column(c).to_numpy(zero_copy_only=False) for c in (*_ROW, "block", "later") if c in b.schema.names}
+    if "sig" in b.schema.names:
+        raw = b.column("sig")
+        ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+        out["sig"] = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view("<u8").reshape(len(raw), -1)
+    else:
+        out["sig"] = np.stack([b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("b1", "b2")], 1)
+    return out
+
+
+def candidates(rows: DataFrame, most: int = 1) -> DataFrame:
+    """doc, line, doc2, line2, more: earlier candidates of rows by key, and block where there is one; the first ``most`` of each, all for 0.
+
+    Of rows with a column ``later`` only those that are get candidates; ``more``
+    is the key where a row has as many as that, and perhaps others, else null.
+    """
+    by = ["key", "block"] if "block" in rows.columns else ["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "doc", "line", *_FIELDS)
         held: list[dict[str, np.ndarray]] = []
 
-        def out(c: dict[str, np.ndarray]) -> pa.RecordBatch:
-            b, a = compare_groups(c["key"], {k: c[k] for k in _FIELDS})
-            found = np.unique(np.rec.fromarrays([c["doc"][b], c["line"][b], c["doc"][a], c["line"][a]], names="a,b,c,d"))
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[k])) for k in "abcd"], names=["doc", "line", "doc2", "line2"])
+        def groups(c: dict[str, np.ndarray]) -> np.ndarray:
+            new = c["key"][1:] != c["key"][:-1]
+            if "block" in c:
+                new = new | (c["block"][1:] != c["block"][:-1])
+            return np.cumsum(np.concatenate([[0], new]))
+
+        def out(c: dict[str, np.ndarray], group: np.ndarray) -> pa.RecordBatch:
+            b, a = compare_groups(group, c, most)
+            full = np.bincount(b, minlength=len(group))[b] >= most if most else np.zeros(len(b), bool)
+            found = np.unique(np.rec.fromarrays([c["doc"][b], c["line"][b], c["doc"][a], c["line"][a], np.where(full, c["key"][b], 0), full], names="a,b,c,d,e,f"))
+            more = pa.array(np.ascontiguousarray(found["e"]), mask=~found["f"])
+            return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(found[k])) for k in "abcd"], more], names=["doc", "line", "doc2", "line2", "more"])
 
         def whole() -> dict[str, np.ndarray]:
-            return {c: np.concatenate([h[c] for h in held]) for c in names}
+            return {k: np.concatenate([h[k] for h in held]) for k in held[0]}
 
         for b in batches:
-            held.append({c: _column(b, c) for c in names})
+            if not b.num_rows:
+                continue
+            held.append(_columns(b))
             if sum(len(h["key"]) for h in held) < 100_000:
                 continue
-            cols = whole()
-            last = int(np.searchsorted(cols["key"], cols["key"][-1], "left"))  # the last group may go on
-            held = [{c: v[last:] for c, v in cols.items()}]
+            c = whole()
+            group = groups(c)
+            last = int(np.searchsorted(group, group[-1], "left"))  # the last group may go on
+            held = [{k: v[last:] for k, v in c.items()}]
             if last:
-                yield out({c: v[:last] for c, v in cols.items()})
+                yield out({k: v[:last] for k, v in c.items()}, group[:last])
         if held:
-            yield out(whole())
+            c = whole()
+            yield out(c, groups(c))
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *by).sortWithinPartitions(*by, "doc", "line").mapInArrow(run, _PAIR)
+
+
+def _one(pairs: DataFrame) -> DataFrame:
+    """The earliest candidate of each line."""
+    return pairs.groupBy("doc", "line").agg(F.min(F.struct("doc2", "line2")).alias("p")).select("doc", "line", "p.doc2", "p.line2")
+
+
+def _own_block() -> Column:
+    return F.pmod(F.xxhash64("doc", "line"), F.col("parts")).cast("int")
 
-    dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "doc", "line")
-    return dealt.select("key", "doc", "line", *_FIELDS).mapInArrow(run, "doc bigint, line int, doc2 bigint, line2 int")
+
+def first_look(rows: DataFrame, hot: DataFrame | None, tries: int = TRIES) -> DataFrame:
+    """Candidates of all lines within their keys' groups; in blocks, with pivots, under the keys of ``hot`` (key, parts)."""
+    if hot is None:
+        return candidates(rows.select(*_ROW, "b1", "b2"), tries)
+    flat = lambda df, later: df.withColumn("later", F.lit(later)).select(*_ROW, "block", "later", "b1", "b2")
+    cold = rows.join(hot, "key", "left_anti").withColumn("block", F.lit(0))
+    held = rows.join(hot, "key").withColumn("block", _own_block())
+    early = held.groupBy("key", F.pmod(F.xxhash64("line", "doc"), F.lit(PIVOTS)).alias("_k")).agg(F.min(F.struct("doc", "line", "n", "place", "b1", "b2", "block", "parts")).alias("p")).select("key", "p.*")
+    sent = early.withColumn("_own", F.col("block")).drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("block <> _own")
+    return candidates(flat(cold, True).unionByName(flat(held, True)).unionByName(flat(sent, False)), tries)
+
+
+def key_rows(firsts: DataFrame) -> DataFrame:
+    """A row for each line and word of its prefix."""
+    return firsts.where(F.size("prefix") > 0).select(F.posexplode("prefix").alias("place", "key"), "doc", "line", "n", "b1", "b2")
+
+
+def looked_up(firsts: DataFrame, open_: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """The rows under the keys of ``open_`` (doc, line, key), of which these are ``later`` and come in every block of a key of ``hot``."""
+    keys = cut(open_.select("key").distinct())
+    rows = key_rows(firsts).join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left_semi")
+    mark = open_.select("doc", "line", "key", F.lit(True).alias("later"))
+    rows = rows.join(F.broadcast(mark) if open_.count() <= BROADCAST_ROWS else mark, ["doc", "line", "key"], "left").withColumn("later", F.coalesce("later", F.lit(False)))
+    rows = rows.select(*_ROW, "later", "b1", "b2")
+    if hot is None:
+        return rows
+    parted = rows.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    blocks = F.when(F.col("later"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(_own_block()))
+    return parted.withColumn("block", F.explode(blocks)).drop("parts")
+
+
+def widened(rows: DataFrame, docs: DataFrame, rank: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """``rows`` with wide signatures, made again from the texts."""
+
+    def wide(o: np.ndarray, edge: np.ndarray, n: np.ndarray) -> pa.Array:
+        sig = signature(o, np.repeat(np.arange(len(n)), n), len(n), WIDE)
+        offsets = np.arange(len(n) + 1, dtype=np.int32) * (8 * WIDE)
+        return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(sig.astype("<u8").tobytes())])
+
+    signed = line_values(docs, cut(rows.select("doc", "line").distinct()), rank, id_col, text_col, "sig binary", wide)
+    return rows.drop("b1", "b2").join(signed, ["doc", "line"])
 
 
 def _by_doc(lines: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -331,10 +398,11 @@ def _by_doc(lines: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return known, np.append(first, len(doc)), line
 
 
-def word_sets(docs: DataFrame, wanted: DataFrame, rank: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """doc, line, words of the lines in ``wanted`` (doc, line)."""
+def line_values(docs: DataFrame, wanted: DataFrame, rank: np.ndarray, id_col: str, text_col: str, field: str, make: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.Array]) -> DataFrame:
+    """doc, line and ``field`` of the lines in ``wanted`` (doc, line): what ``make`` gives for their words, where each line's begin, and their numbers."""
     sc = docs.sparkSession.sparkContext
-    fields = "doc bigint, line int, words array<bigint>"
+    name = field.split(" ")[0]
+    fields = f"doc bigint, line int, {field}"
 
     def emit(doc: np.ndarray, keep: Callable, chunk: tuple) -> pa.RecordBatch | None:
         at, _, raw, starts, row, number = chunk
@@ -350,11 +418,14 @@ def word_sets(docs: DataFrame, wanted: DataFrame, rank: np.ndarray, id_col: str,
             return None
         edge = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
         which = mine[line[edge]]
-        lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(o)).astype(np.int32)), pa.array(o.view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(doc[at + row[which]]), pa.array(number[which].astype(np.int32)), lists], names=["doc", "line", "words"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[at + row[which]]), pa.array(number[which].astype(np.int32)), make(o, edge, np.diff(np.append(edge, len(o))))], names=["doc", "line", name])
 
     if wanted.count() <= BROADCAST_LINES:
         sent = sc.broadcast(_by_doc(wanted))
+        if len(sent.value[0]) <= BROADCAST_ROWS:
+            # Only documents with such a line go to Python.
+            few = docs.sparkSession.createDataFrame(pa.table({"_wanted": pa.array(sent.value[0], pa.int64())}))
+            docs = docs.select(id_col, text_col).join(F.broadcast(few), F.col(id_col) == F.col("_wanted"), "left_semi")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, edges, numbers = sent.value
@@ -370,72 +441,92 @@ def word_sets(docs: DataFrame, wanted: DataFrame, rank: np.ndarray, id_col: str,
                 return out
 
             for b in batches:
-                ids = b.column(id_col).cast(pa.int64()).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+                ids = b.column(id_col).to_numpy(zero_copy_only=False)
                 yield from filter(None, (emit(ids, keep, c) for c in chunks(b, text_col)))
 
         return docs.select(id_col, text_col).mapInArrow(run, fields).dropDuplicates(["doc", "line"])
 
     listed = wanted.groupBy("doc").agg(F.collect_list("line").alias("_lines"))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), text_col).join(listed, "doc")
+    keyed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text")).join(listed, "doc")
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = [set(x) for x in b.column("_lines").to_pylist()]
             keep = lambda doc, number, row: np.array([k in lists[r] for k, r in zip(number.tolist(), row.tolist(), strict=True)], bool)  # noqa: B023, E731
-            yield from filter(None, (emit(b.column("doc").to_numpy(), keep, c) for c in chunks(b, text_col)))
+            yield from filter(None, (emit(b.column("doc").to_numpy(), keep, c) for c in chunks(b, "_text")))
 
     return keyed.mapInArrow(run_joined, fields).dropDuplicates(["doc", "line"])
 
 
+def word_sets(docs: DataFrame, wanted: DataFrame, rank: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """doc, line, words of the lines in ``wanted`` (doc, line)."""
+    lists = lambda o, edge, n: pa.ListArray.from_arrays(pa.array(np.append(edge, len(o)).astype(np.int32)), pa.array(o.view(np.int64)))
+    return line_values(docs, wanted, rank, id_col, text_col, "words array<bigint>", lists)
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (doc, line, doc2, line2) whose word sets are similar."""
-    a, b = THRESHOLD
-    x = sets.select("doc", "line", F.col("words").alias("x"))
-    y = sets.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("words").alias("y"))
-    both = pairs.join(x, ["doc", "line"]).join(y, ["doc2", "line2"])
-    return both.where((a + b) * F.size(F.array_intersect("x", "y")) >= a * (F.size("x") + F.size("y"))).select("doc", "line", "doc2", "line2")
+    return similar_pairs(pairs, sets, ["doc", "line"], ["doc", "line"], ["doc2", "line2"], "words", THRESHOLD, MET, BROADCAST_KEYS)
 
 
 # -- the whole -------------------------------------------------------------------------------------------
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cold: int = COLD, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc (the null id as the smallest long), line (from 0) of every line to be removed, once each."""
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with a long of its own for each document, in the documents' order, and that column's name.
+
+    It is the id where no id is null or repeated.  Otherwise the pairs of id and
+    text hash are sorted and numbered.
+    """
+    key = free(docs, "_doc")
+    n = docs.select(id_col).groupBy(id_col).count().agg(F.count(F.when(F.col(id_col).isNull() | (F.col("count") > 1), 1))).first()[0]
+    if not n:
+        return docs.withColumn(key, F.col(id_col).cast("long")), key
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    own = docs.select(F.col(id_col).alias("_i"), hashed.alias("_h")).distinct().orderBy(F.asc_nulls_first("_i"), "_h")
+    own = cut(own.select(F.col("_i").alias(free(docs, "_i")), F.col("_h").alias(free(docs, "_h")), F.monotonically_increasing_id().alias(key)))
+    i, h = own.columns[:2]
+    own = F.broadcast(own) if own.count() <= BROADCAST_SETS else own
+    return docs.join(own, F.col(id_col).eqNullSafe(F.col(i)) & (hashed == F.col(h))).drop(i, h), key
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cold: int = COLD, min_words: int = MIN_WORDS, tries: int = TRIES) -> DataFrame:
+    """doc, line (from 0) of every line to be removed, once each; ids are longs, none null, that tell documents apart."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rank, counts = rarity(docs, text_col)
     lines = stored(line_sets(docs, rank, int(np.searchsorted(counts, cold, "right")), id_col, text_col, min_words), "lines")
     firsts = lines.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line")).alias("f"), F.first("n").alias("n"), F.first("b1").alias("b1"), F.first("b2").alias("b2"), F.first("prefix").alias("prefix"), F.first("perhaps").alias("perhaps"), F.count("*").alias("copies"))
     firsts = stored(firsts.select("s1", "s2", "f.doc", "f.line", "n", "b1", "b2", "prefix", "perhaps", "copies"), "firsts")
     release(spark)
 
-    rows = firsts.where(F.size("prefix") > 0).select(F.posexplode("prefix").alias("place", "key"), "doc", "line", "n", "b1", "b2")
-    hot = cut(firsts.select(F.explode("perhaps").alias("key")).groupBy("key").agg(F.count("*").alias("_c")).where(F.col("_c") > cold).select("key"))
+    hot = firsts.select(F.explode("perhaps").alias("key")).groupBy("key").agg(F.count("*").alias("_c")).where(F.col("_c") > cold)
+    hot = cut(hot.select("key", F.ceil(F.col("_c") / cold).cast("int").alias("parts")))
     n_hot = hot.count()
     release(spark)
-    known = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
-    pairs = cold_candidates(rows.join(known, "key", "left_anti") if n_hot else rows, parts)
-    unsure = None
-    if n_hot:
-        held = rows.join(known, "key")
-        pivots = held.groupBy("key").agg(F.min(F.struct("doc", "line", "n", "b1", "b2", "place")).alias("p")).select("key", "p.*")
-        pivots = F.broadcast(pivots) if n_hot <= BROADCAST_KEYS else pivots
-        pairs = pairs.unionByName(joined_candidates(pivots, held))
-        unsure = held.select("doc", "line")
-    # One candidate of a line is tried first, the earliest; it is nearly always confirmed.
-    pairs = cut(pairs.groupBy("doc", "line").agg(F.min(F.struct("doc2", "line2")).alias("p")).select("doc", "line", "p.doc2", "p.line2"))
+    hot = None if not n_hot else F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
+    found = cut(first_look(key_rows(firsts), hot, tries))
     release(spark)
-    unsure = pairs.select("doc", "line") if unsure is None else unsure.unionByName(pairs.select("doc", "line"))
-
-    gone = cut(_settle(docs, pairs, rank, id_col, text_col))
+    settle = lambda pairs: _settle(docs, pairs, rank, id_col, text_col)
+    pairs = cut(_one(found))
+    gone = cut(settle(pairs))
+    rest = found.select("doc", "line", "doc2", "line2").distinct().join(gone, ["doc", "line"], "left_anti").join(pairs, ["doc", "line", "doc2", "line2"], "left_anti")
+    rest = cut(rest)
+    gone = cut(gone.unionByName(settle(rest)).distinct())
     release(spark)
-    unsure = cut(unsure.distinct().join(gone, ["doc", "line"], "left_anti"))
-    n_unsure = unsure.count()
-    if n_unsure:
-        few = n_unsure <= BROADCAST_ROWS // 20
-        later = rows.join(F.broadcast(unsure) if few else unsure, ["doc", "line"])
-        later = F.broadcast(later) if few else later
-        more = cut(joined_candidates(rows, later))
-        gone = gone.unionByName(cut(_settle(docs, more, rank, id_col, text_col)))
+
+    # Lines and keys with candidates that have not been tried.
+    open_ = found.where("more IS NOT NULL").select("doc", "line", F.col("more").alias("key"))
+    if hot is not None:
+        open_ = open_.unionByName(key_rows(firsts).join(hot, "key", "left_semi").select("doc", "line", "key"))
+    open_ = cut(open_.distinct().join(gone, ["doc", "line"], "left_anti"))
+    for most in (1, 0):
+        if open_.isEmpty():
+            break
+        more = candidates(widened(looked_up(firsts, open_, hot), docs, rank, id_col, text_col), most).drop("more")
+        more = cut(_one(more) if most else more.distinct())
+        gone = cut(gone.unionByName(settle(more)).distinct())
+        left = more.select("doc", "line").distinct().join(gone, ["doc", "line"], "left_anti")
+        open_ = cut(open_.join(left, ["doc", "line"], "left_semi"))
+        release(spark)
 
     repeated = firsts.where("copies > 1").select("s1", "s2", F.col("doc").alias("d1"), F.col("line").alias("l1"))
     repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_SETS else repeated
@@ -445,17 +536,20 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _settle(docs: DataFrame, pairs: DataFrame, rank: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    if pairs.isEmpty():
+        return pairs.select("doc", "line")
     wanted = cut(pairs.select("doc", "line").union(pairs.select("doc2", "line2")).distinct())
     return verified(pairs, word_sets(docs, wanted, rank, id_col, text_col)).select("doc", "line").distinct()
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cold: int = COLD, min_words: int = MIN_WORDS) -> DataFrame:
-    """All rows and columns of ``docs``, the text without its removed lines, and n_lines, n_removed."""
-    docs = docs.drop("n_lines", "n_removed")
-    gone = cut(removed_lines(docs, id_col, text_col, cold, min_words))
-    release(docs.sparkSession)
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cold: int = COLD, min_words: int = MIN_WORDS, tries: int = TRIES) -> DataFrame:
+    """All rows and columns of ``docs``, the text without its removed lines, and n_lines, n_removed; these two get an underscore where ``docs`` has such a column."""
     names = docs.columns
-    fields = f"{ddl(docs, *names)}, n_lines bigint, n_removed bigint"
+    added = [free(docs, "n_lines"), free(docs, "n_removed")]
+    docs, key = keyed(docs, id_col, text_col)
+    gone = cut(removed_lines(docs, key, text_col, cold, min_words, tries))
+    release(docs.sparkSession)
+    fields = f"{ddl(docs, *names)}, " + ", ".join(f"`{c}` bigint" for c in added)
 
     def cleared(b: pa.RecordBatch, drops: list) -> pa.RecordBatch:
         texts, all_lines, lost = [], [], []
@@ -465,7 +559,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cold:
             all_lines.append(t.count("\n") + 1)
             lost.append(len(drop))
         cols = [pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in names]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(all_lines, pa.int64()), pa.array(lost, pa.int64())], names=[*names, "n_lines", "n_removed"])
+        return pa.RecordBatch.from_arrays([*cols, pa.array(all_lines, pa.int64()), pa.array(lost, pa.int64())], names=[*names, *added])
 
     if gone.count() <= BROADCAST_LINES:
         sent = docs.sparkSession.sparkContext.broadcast(_by_doc(gone))
@@ -473,12 +567,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cold:
         def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, edges, numbers = sent.value
             for b in batches:
-                ids = b.column(id_col).cast(pa.int64()).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+                ids = b.column(key).to_numpy(zero_copy_only=False)
                 at = np.searchsorted(known, ids)
                 yield cleared(b, [numbers[edges[k] : edges[k + 1]].tolist() if k < len(known) and known[k] == i else None for k, i in zip(at.tolist(), ids.tolist(), strict=True)])
 
         return docs.mapInArrow(in_place, fields)
 
-    listed = gone.groupBy("doc").agg(F.collect_list("line").alias("_gone")).withColumnRenamed("doc", "_doc")
-    joined = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).join(listed, "_doc", "left").drop("_doc")
-    return joined.mapInArrow(lambda batches: (cleared(b, b.column("_gone").to_pylist()) for b in batches), fields)
+    lists = free(docs, "_gone")
+    listed = gone.groupBy(F.col("doc").alias(key)).agg(F.collect_list("line").alias(lists))
+    return docs.join(listed, key, "left").mapInArrow(lambda batches: (cleared(b, b.column(lists).to_pylist()) for b in batches), fields)
