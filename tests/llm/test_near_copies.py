@@ -2,7 +2,7 @@ import random
 import re
 
 import corpus_pipeline
-from veilgrove.llm import near_copies
+from veilgrove.llm import simhash
 
 
 def brute_set(text, k=5):
@@ -49,7 +49,7 @@ def test_against_brute_force(spark):
     for seed in (1, 2):
         rows = texts(seed)
         df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS node", "2 AS n").repartition(3)
-        assert {r.doc_id: r.component_id for r in near_copies.near_copies(df).collect()} == brute(rows)
+        assert {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()} == brute(rows)
 
 
 def test_the_stage_takes_edited_copies_out(spark):
@@ -65,6 +65,31 @@ def test_the_stage_takes_edited_copies_out(spark):
 
 
 def test_no_rows_and_null_ids(spark):
-    assert near_copies.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert simhash.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(None, "x y z"), (5, "x y z"), (5, "x y z")], "doc_id long, text string")
-    assert sorted((r.doc_id or 0, r.component_id) for r in near_copies.near_copies(df).collect()) == [(0, 5), (5, 5), (5, 5)]
+    assert sorted((r.doc_id or 0, r.component_id) for r in simhash.near_copies(df).collect()) == [(0, 5), (5, 5), (5, 5)]
+
+
+def test_a_group_about_the_threshold(spark, monkeypatch):
+    """Texts whose pairs lie on either side of 0.8, in small blocks; and the pairs that are verified stay few."""
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for k in rng.sample(range(120), 2):
+            w[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(w)))
+    seen = []
+    real = simhash.similar_pairs
+    monkeypatch.setattr(simhash, "similar_pairs", lambda pairs, *a, **kw: (seen.append(pairs.count()), real(pairs, *a, **kw))[1])
+    monkeypatch.setattr(simhash, "COPY_ROWS", 25)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()} == brute(rows)
+    assert sum(seen) <= 6 * len(rows)
+
+
+def test_keep_one_of_equal_rows_and_null_ids(spark):
+    rows = [(None, "x y z"), (5, "x y z"), (5, "x y z"), (5, "other words"), (None, "third text here"), (None, None), (9, " ")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "third text here"), (5, "other words"), (5, "x y z"), (9, " ")]

@@ -77,3 +77,34 @@ def test_run(spark, tables):
     got = corpus_pipeline.run(spark, root)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert 20 < got.count() < 260
+
+
+def test_odd_ids_repeats_and_clashing_names_lose_no_clean_document(spark, tables):
+    """Null and repeated ids over different texts, equal rows, and columns named like those that stages make."""
+    root, items = tables
+    rng = random.Random(21)
+    clean = [" ".join(rng.choice(WORDS) + rng.choice(["", "s", "ed"]) for _ in range(90)) for _ in range(12)]
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else 100 + k, t, "en", "s1", len(t)) for k, t in enumerate(clean)]
+    rows += [(None, clean[0] + "\n" + items[0][1], "en", "s1", 3), rows[2], rows[2], (None, None, "en", "s1", 0), (8, "", "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    more = {"_id": "'a'", "_host": "'keep'", "_path": "1", "kept": "false", "posterior": "0.5D", "_doc": "3", "n_lines": "4", "N_REMOVED": "5", "_pair": "6", "_row_a": "7", "component_id": "8", "node": "9", "_kept": "10"}
+    docs = docs.selectExpr("*", *[f"{v} AS {k}" for k, v in more.items()])
+    odd = {k.lower(): docs.first()[k] for k in more}
+    got = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        after = stage(spark, docs, root)
+        assert after.columns == docs.columns
+        got[name] = after.collect()
+        assert all({k.lower(): r[k] for k in more} == odd for r in got[name]), name
+    assert {r.text for r in got["quality_classifier"]} >= set(clean)
+    assert {x for r in got["line_dedup"] for x in r.text.split("\n") if x} == {*clean, items[0][1]}
+    near = [r.text for r in got["near_duplicates"]]
+    assert {t for t in near if t} >= set(clean[1:]) and len([t for t in near if not t]) == 1 and near.count(clean[2]) == 1
+    assert len(got["benchmark_decontamination"]) == len(rows) - 1
+
+
+def test_empty_tables(spark, tables):
+    root, _ = tables
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, root).count() == 0

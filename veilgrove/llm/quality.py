@@ -17,8 +17,9 @@ head stays below ``TOXIC``.
 Defined cases: a null text is the empty one; a null host or path is the empty
 string, a site like any other; without labelled rows of both classes a head is
 neutral (0.5, or 0 for toxicity) and rejects nothing; repeated rows count as
-often as they come; an empty table gives no rows; columns of the input that bear
-the name of a result are replaced by it.
+often as they come, but a labelled id counts once in fitting; an empty table
+gives no rows; columns of the input that bear the name of a result are replaced
+by it, unless ``prefix`` gives the results other names, and all others stay.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgrove.llm.common import bounded_batches, cut, ddl
+from veilgrove.llm.common import bounded_batches, cut, ddl, free
 from veilgrove.llm.rules import STOP_WORDS
 
 #: Labelled rows to fit on, at most; words of the lexicon, at most.
@@ -117,8 +118,8 @@ def logistic(x: np.ndarray, y: np.ndarray, neutral: float, penalty: float = 1.0,
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, quality_col: str, toxic_col: str, sample: int) -> DataFrame:
     picked = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(quality_col).cast("int").alias("_quality"), F.col(toxic_col).cast("int").alias("_toxic"))
-    picked = picked.orderBy(F.xxhash64(id_col), "_quality", "_toxic").limit(sample)  # the bound of what is broadcast
-    return docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(picked), id_col)
+    picked = picked.withColumn("_label", F.xxhash64(id_col)).orderBy("_label", "_quality", "_toxic").limit(sample)  # the bound of what is broadcast
+    return docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(picked), id_col).drop(id_col)
 
 
 def lexicon(rows: DataFrame, size: int = LEXICON, support: float = 0.02, odds: float = 8.0) -> frozenset[bytes]:
@@ -142,9 +143,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [_both(t, words) for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("_quality"), b.column("_toxic"), pa.array(x, pa.list_(pa.float64()))], names=["q", "t", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("_label"), b.column("_quality"), b.column("_toxic"), pa.array(x, pa.list_(pa.float64()))], names=["label", "q", "t", "x"])
 
-    got = rows.mapInArrow(run, "q int, t int, x array<double>").toArrow().to_pydict()
+    # One row for each label, however many rows bear its id: so many reach the driver, not more.
+    got = rows.mapInArrow(run, "label bigint, q int, t int, x array<double>").groupBy("label", "q", "t").agg(F.min("x").alias("x")).toArrow().to_pydict()
     x = np.array(got["x"], float).reshape(-1, len(FEATURES) + 2)
     q, t = (np.array([-1 if v is None else v for v in got[k]]) for k in "qt")
     order = np.lexsort((*x.T, t, q))  # sums must not depend on the order of rows
@@ -158,9 +160,10 @@ def _both(text: str, words: frozenset[bytes]) -> list[float]:
     return features(raw, split) + insults(split, words)
 
 
-def evidence(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and doc_prob, toxic_prob of each row by itself."""
-    docs = docs.drop("doc_prob", "toxic_prob")
+def evidence(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """All columns of ``docs`` and doc_prob, toxic_prob of each row by itself, their names behind ``prefix``."""
+    names = [f"{prefix}doc_prob", f"{prefix}toxic_prob"]
+    docs = docs.drop(*names)
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +171,9 @@ def evidence(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for b in batches:
             x = np.array([_both(t or "", model.lexicon) for t in b.column(text_col).to_pylist()], float).reshape(-1, n + 2)
             more = [pa.array(np.round(model.quality.prob(x[:, :n]), 9)), pa.array(np.round(model.toxic.prob(x[:, n:]), 9))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "doc_prob", "toxic_prob"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *names])
 
-    return docs.mapInArrow(run, f"{ddl(docs, *docs.columns)}, doc_prob double, toxic_prob double")
+    return docs.mapInArrow(run, f"{ddl(docs, *docs.columns)}, " + ", ".join(f"`{c}` double" for c in names))
 
 
 # -- the hierarchy ------------------------------------------------------------------------------
@@ -212,21 +215,24 @@ def sites(scored: DataFrame) -> DataFrame:
     return both.select("_host", "_path", "host_posterior", posterior("s", "n", F.lit(k_path), F.col("host_posterior")).alias("path_posterior"))
 
 
-def classify(docs: DataFrame, model: Model, host: Column, path: Column, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and RESULTS.
+def classify(docs: DataFrame, model: Model, host: Column, path: Column, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """All columns of ``docs`` and RESULTS, their names behind ``prefix``.
 
     The text is read twice and never shuffled: once for the sums by site, and
     once to join each row's evidence with its site's posterior.
     """
-    docs = docs.drop(*RESULTS)
-    keyed = docs.withColumns({"_host": F.coalesce(host.cast("string"), F.lit("")), "_path": F.coalesce(path.cast("string"), F.lit(""))})
-    by_site = cut(sites(evidence(keyed.select("_host", "_path", text_col), model, text_col)))
+    results = {c: f"{prefix}{c}" for c in RESULTS}
+    docs = docs.drop(*results.values())
+    h, p = free(docs, "_host"), free(docs, "_path")
+    keyed = docs.withColumns({h: F.coalesce(host.cast("string"), F.lit("")), p: F.coalesce(path.cast("string"), F.lit(""))})
+    by_site = cut(sites(evidence(keyed.select(F.col(h).alias("_host"), F.col(p).alias("_path"), text_col), model, text_col)))
+    by_site = by_site.select(F.col("_host").alias(h), F.col("_path").alias(p), *[F.col(c).alias(results[c]) for c in ("host_posterior", "path_posterior")])
     if by_site.count() <= BROADCAST_SITES:
         by_site = F.broadcast(by_site)
-    logit = lambda p: F.log(p / (1 - p))
-    clip = lambda c: F.least(F.greatest(F.col(c), F.lit(1e-9)), F.lit(1 - 1e-9))
+    logit = lambda x: F.log(x / (1 - x))
+    clip = lambda c: F.least(F.greatest(F.col(results[c]), F.lit(1e-9)), F.lit(1 - 1e-9))
     base = min(1 - 1e-6, max(1e-6, model.quality.base_rate))
     odds = logit(clip("doc_prob")) - math.log(base / (1 - base)) + logit(clip("path_posterior"))
-    scored = evidence(keyed.join(by_site, ["_host", "_path"]), model, text_col).withColumn("posterior", F.round(1 / (1 + F.exp(-odds)), 9) if model.quality.weights else F.lit(0.5))
-    kept = (F.col("posterior") >= KEEP) & (F.col("toxic_prob") < TOXIC)
-    return scored.withColumn("kept", kept).select(*docs.columns, *RESULTS)
+    scored = evidence(keyed.join(by_site, [h, p]), model, text_col, prefix).withColumn(results["posterior"], F.round(1 / (1 + F.exp(-odds)), 9) if model.quality.weights else F.lit(0.5))
+    kept = (F.col(results["posterior"]) >= KEEP) & (F.col(results["toxic_prob"]) < TOXIC)
+    return scored.withColumn(results["kept"], kept).select(*docs.columns, *results.values())
