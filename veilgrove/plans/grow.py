@@ -196,7 +196,7 @@ def _sums(num_classes: int, outputs: int) -> tuple[list[Column], list[str]]:
 
 
 def _binned(frame: VerticalFrame, bins: int) -> VerticalFrame:
-    """Features rounded up to approximate quantiles of all rows."""
+    """Features rounded up to approximate quantiles of all rows; materialised, since every level reads them."""
     cuts = [k / bins for k in range(1, bins + 1)]
     got = frame.data.select(*[F.percentile_approx(f.name, cuts, 10 * bins).alias(f.name) for f in frame.features]).first()
 
@@ -207,7 +207,7 @@ def _binned(frame: VerticalFrame, bins: int) -> VerticalFrame:
         return F.when(F.col(name).isNotNull(), F.coalesce(above, F.lit(edges[-1])))
 
     cols = {f.name: up(f.name, sorted(set(got[f.name] or ()))) for f in frame.features}
-    return frame._replace(data=frame.data.withColumns(cols))
+    return frame._replace(data=checkpointed(frame.data.withColumns(cols)))
 
 
 def _level(data: DataFrame, model: Model, open_nodes: list[Node], outputs: int, vault: Vault | None = None) -> list[dict]:
