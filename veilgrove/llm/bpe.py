@@ -24,6 +24,7 @@ input are not read, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -43,7 +44,7 @@ WINDOW = 8
 #: Characters above which a text is dealt out in blocks.
 BLOCK = 1 << 15
 #: Entries of the per-worker cache of encoded runs, and the longest run in it.
-CACHE, CACHED = 400_000, 48
+CACHE, CACHED = 200_000, 48
 
 _BLANK = re.compile(r"[ \n]")
 
@@ -83,25 +84,27 @@ class _Codec:
 
     def __init__(self, path: str, leaf: int, window: int) -> None:
         from tokenizers import Tokenizer
-        from tokenizers.models import BPE
 
-        self.leaf, self.window = leaf, window
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        self.path, self.leaf, self.window = path, leaf, window
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        model = spec["model"]
-        self.suffix = model.get("end_of_word_suffix") or ""
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.suffix = getattr(self.tok.model, "end_of_word_suffix", None) or ""
+        self.names = [self.tok.id_to_token(i) or "" for i in range(max(self.tok.get_vocab(True).values()) + 1)]
+        self.cache = _Runs(self)
+
+    @functools.cached_property
+    def pieces(self) -> tuple:
+        """Models of a piece that another piece of the same pre-token follows, and of a pre-token's last piece; made where there is such a one."""
+        from tokenizers.models import BPE
+
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         common = {"vocab": model["vocab"], "merges": merges, "fuse_unk": model.get("fuse_unk", False)}
-        #: Of a piece that another piece of the same pre-token follows, and of a pre-token's last piece.
-        self.inner = BPE(**common)
-        self.last = BPE(**common, end_of_word_suffix=self.suffix) if self.suffix else self.inner
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        size = max([*model["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1
-        self.names = [self.tok.id_to_token(i) or "" for i in range(size)]
-        self.cache = _Runs(self)
+        inner = BPE(**common)
+        return inner, BPE(**common, end_of_word_suffix=self.suffix) if self.suffix else inner
 
     # -- the tree -----------------------------------------------------------
     def _text(self, ids: list[int]) -> str:
@@ -109,7 +112,7 @@ class _Codec:
         return out + self.names[ids[-1]].removesuffix(self.suffix) if ids and self.suffix else out + "".join(self.names[i] for i in ids[-1:])
 
     def _piece(self, text: str, last: bool) -> list[int]:
-        return [t.id for t in (self.last if last else self.inner).tokenize(text)]
+        return [t.id for t in self.pieces[last].tokenize(text)]
 
     def join(self, left: list[int], right: list[int], last: bool) -> list[int]:
         """Encoding of two neighbouring pieces from the encodings of each."""
