@@ -4,6 +4,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from veilgrove.llm import line_dedup as L
 
 
@@ -167,3 +169,66 @@ def test_columns_of_any_name_stay(spark):
 
 def test_no_rows(spark):
     assert L.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_groups_are_sorted_by_one_number(spark):
+    rows = spark.createDataFrame([(-5, 1, 0, 3, 0, 0, 0)], "key int, doc bigint, line int, n int, place int, b1 bigint, b2 bigint")
+    for df in (rows, rows.withColumn("block", F.lit(1)).withColumn("later", F.lit(True))):
+        plan = L.candidates(df)._jdf.queryExecution().executedPlan().toString()
+        (sort,) = re.findall(r"Sort \[([^\n]*)\], false", plan)
+        assert sort.count("ASC") == 1 and "doc" not in sort, sort
+
+
+def test_candidates_come_in_the_order_of_lines(spark):
+    # One group under a negative key, its rows shuffled: the first two of all that are equal but for their lines.
+    at = [(d, k) for d in (-3, 0, 2**40) for k in (0, 7)]
+    rows = [(key, d, k, 9, 0, 5, 6) for d, k in random.Random(3).sample(at, len(at)) for key in (-9, 4)]
+    df = spark.createDataFrame(rows, "key int, doc bigint, line int, n int, place int, b1 bigint, b2 bigint")
+    got = {((r.doc, r.line), (r.doc2, r.line2), r.more) for r in L.candidates(df, 2).collect()}
+    assert got == {(x, y, key if i > 1 else None) for i, x in enumerate(at) for y in at[: min(i, 2)] for key in (-9, 4)}
+
+
+@pytest.mark.parametrize("doc", [[1, 1, 0], [2**62, 1, -(2**62)]])
+def test_order_of_rows(doc):
+    group, doc, line = np.array([0, 0, 0]), np.array(doc), np.array([7, 2, 9], np.int32)
+    assert L.in_order(group, doc, line).tolist() == [2, 1, 0]
+
+
+def test_hashes_of_long_words():
+    # Words that differ in their last byte only, and each twice: behind different bytes, and with a byte of zero more.
+    words = [b"x" * n + last for n in (0, 6, 7, 8, 15, 16, 62, 63, 64, 65, 200) for last in (b"a", b"b", b"a\0")]
+    raw = np.frombuffer(b" ".join(words) + b"\n\n  " + b"\t".join(words), np.uint8)
+    h, line = L.word_hashes(raw, np.concatenate([[0], np.flatnonzero(raw == 10) + 1]))
+    assert h[: len(words)].tolist() == h[len(words) :].tolist() and len(set(h.tolist())) == len(words)
+    assert line.tolist() == [0] * len(words) + [2] * len(words)
+
+
+def test_wanted_lines():
+    known, wanted = np.array([-4, 9]), np.array([0 << 32 | 2, 1 << 32 | 0, 1 << 32 | 5])
+    doc, number = np.array([-9, -4, -4, 3, 9, 9, 9, 11]), np.array([2, 2, 0, 2, 0, 5, 2, 5])
+    assert L._among(doc, number, known, wanted).tolist() == [False, True, False, False, True, True, False, False]
+    assert not L._among(doc, number, known[:0], wanted[:0]).any()
+
+
+def near_the_threshold():
+    # One word in all lines, then many dissimilar ones with equal sizes before a line that is similar to the last of them only.
+    rng = random.Random(12)
+    lines = [["rare", *rng.sample([f"w{k}" for k in range(30)], 24)] for _ in range(40)]
+    return [(i, " ".join(x)) for i, x in enumerate([*lines, [*lines[-1][:-1], "other"]])] + [(100 + i, f"alone{i}") for i in range(2000)]
+
+
+@pytest.mark.parametrize("few, cold", [(2, L.COLD), (5, L.COLD), (2, 20)])
+def test_a_second_look_with_more_tries(spark, monkeypatch, few, cold):
+    monkeypatch.setattr(L, "MORE_TRIES", few)
+    seen, original = [], L.candidates
+    monkeypatch.setattr(L, "candidates", lambda rows, most=1: seen.append(most) or original(rows, most))
+    check(spark, near_the_threshold(), cold=cold, tries=1)
+    check(spark, texts(6), cold=cold, tries=1)
+    assert few in seen
+
+
+def test_few_open_lines_need_no_wide_signatures(spark, monkeypatch):
+    monkeypatch.setattr(L, "wide_signatures", None)
+    plenty = [(5000 + i, f"more{i}") for i in range(20_000)]
+    got = {tuple(r) for r in L.removed_lines(spark.createDataFrame(near_the_threshold() + plenty, "doc_id long, text string"), tries=1).collect()}
+    assert got == brute(near_the_threshold())

@@ -18,7 +18,9 @@ words match only an equal set in their own document.  Lines without a word stay.
    about that size, each with ``PIVOTS`` early rows of the group.  Each line keeps
    its first ``TRIES`` candidates for each key.  The earliest of them is verified
    on the full word sets, which settles nearly all; then those of the lines that
-   it does not settle.  A line is done where no key has more.
+   it does not settle.  A line is done where no key has more.  If few have, up
+   to ``MORE_TRIES`` candidates of these under such keys are verified, as many
+   as give no more pairs than there are lines.
 5. For the others, lines of groups whose pairs lie about the threshold, the keys
    with more, and those with blocks, are searched in whole with wide signatures
    (``WIDE``) that tell nearly all dissimilar pairs: the earliest candidate is
@@ -53,8 +55,8 @@ THRESHOLD = (4, 5)
 MIN_WORDS = 0
 #: Counters of the rarity sketch; rows of a group or block; early rows of a large group that each of its blocks has.
 SKETCH, COLD, PIVOTS = 1 << 16, 4096, 16
-#: Candidates that a line keeps for each key.
-TRIES = 4
+#: Candidates that a line keeps for each key; the same of a second look, if that gives no more pairs than there are lines.
+TRIES, MORE_TRIES = 4, 1024
 #: 64-bit words of a line's signature, 32 buckets to a word: of every line, and of those looked up again.
 SIGNATURE, WIDE = 2, 16
 #: Hot keys, unsettled lines, wanted lines, repeated sets that may be broadcast; lines that meet one earlier line before its set is sent in copies.
@@ -64,8 +66,10 @@ CHUNK = 1 << 17
 
 
 # -- words of lines, without a loop over words ------------------------------------------------------
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of a word that are mixed in one eight after the other.
+LONG = 64
+#: Masks of the first 0 to 8 bytes of a number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(int(_R), -1, 2**64))
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,13 +96,14 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(raw: np.ndarray, line_starts: np.ndarray, lines: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
     """64-bit hash of every word of ``raw``, and the line it is in; no word goes over a line's start.
 
-    A polynomial over the whole buffer gives every word's hash as a difference
-    of two running sums, shifted back to the word's start.
+    Bytes are mixed in by eights.  Of words of more than ``LONG`` bytes a
+    polynomial over the whole buffer gives the rest, as a difference of two
+    running sums, shifted back to the word's start.
     """
     n = len(raw)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    solid = ~_BLANK[raw]
+    solid = (raw != 32) & ((raw - np.uint8(9)) > 4)
     first = np.zeros(n + 1, bool)
     first[line_starts[line_starts < n]] = True
     start = solid.copy()
@@ -106,10 +111,21 @@ def word_hashes(raw: np.ndarray, line_starts: np.ndarray, lines: bool = True) ->
     end = solid.copy()
     end[:-1] &= ~solid[1:] | first[1:n]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    up, down = _power(n)
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up, out=run[1:])
-    return _mix((run[e] - run[s]) * down[s] + (e - s).astype(np.uint64)), np.searchsorted(line_starts, s, "right") - 1 if lines else None
+    size = e - s
+    from_each = np.ndarray(n, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=1).copy()
+    h = _mix((from_each[s] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * _R)
+    rest = np.flatnonzero(size > 8)
+    for k in range(8, LONG, 8):
+        if not len(rest):
+            break
+        h[rest] = _mix(h[rest] * _R + (from_each[s[rest] + k] & _FIRST[np.minimum(size[rest] - k, 8)]))
+        rest = rest[size[rest] > k + 8]
+    if len(rest):
+        up, down = _power(n)
+        run = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * up, out=run[1:])
+        h[rest] = _mix(h[rest] * _R + (run[e[rest]] - run[s[rest]]) * down[s[rest]])
+    return h, np.searchsorted(line_starts, s, "right") - 1 if lines else None
 
 
 def chunks(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -244,32 +260,40 @@ def compare_groups(group: np.ndarray, c: dict[str, np.ndarray], most: int = 1) -
     where these two leave a pair.
     """
     a, b = THRESHOLD
-    n, sig, doc, line = c["n"].astype(np.int32), c["sig"], c["doc"], c["line"]
-    left = (a + b) * (n - c["place"].astype(np.int32))
+    kind = np.int32 if int(c["n"].max(initial=0)) < 1 << 27 else np.int64
+    n, sig, doc, line = c["n"].astype(kind), c["sig"], c["doc"], c["line"]
+    # Of sizes x and y the smaller is a/b of the larger at least, and what is left of each from its place on a/(a+b) of both.
+    spare = (a + b) * (n - c["place"].astype(kind)) - a * n
     start = np.searchsorted(group, group, "left")
     back = np.arange(len(group)) - start
     todo = np.flatnonzero(back > 0 if "later" not in c else (back > 0) & c["later"])
+    todo = todo[np.argsort(-back[todo], kind="stable")]  # those with the most rows before them, so that the others drop out at the end
+    low, high, need = -(-a * n[todo] // b), np.minimum(b * n[todo] // a, spare[todo] // a), a * n[todo]
+    first, ends = start[todo], -back[todo]
     found = np.zeros(len(group), np.int32)
     later, earlier = [], []
-    d = 0
-    while len(todo):
+    d = done = 0
+    while m := int(np.searchsorted(ends, -d)):
         # From the group's first row on, so that copies of an early line are settled at once.
-        other = start[todo] + d
-        x, y = n[todo], n[other]
-        both = x + y
-        near = np.flatnonzero((b * np.minimum(x, y) >= a * np.maximum(x, y)) & (np.minimum(left[todo], left[other]) >= a * both))
+        other = first[:m] + d
+        y = n[other]
+        near = np.flatnonzero((y >= low[:m]) & (y <= high[:m]) & (spare[other] >= need[:m]))
         p, q = todo[near], other[near]
-        hit = (a + b) * differing(sig[p], sig[q]) <= (b - a) * both[near]
+        if most:
+            on = found[p] < most
+            p, q = p[on], q[on]
+        hit = (a + b) * differing(sig[p], sig[q]) <= (b - a) * (n[p] + n[q])
         hit &= (doc[p] != doc[q]) | (line[p] != line[q])
         p, q = p[hit], q[hit]
         later.append(p)
         earlier.append(q)
         found[p] += 1
         d += 1
-        on = back[todo] > d
-        if most:
-            on &= found[todo] < most
-        todo = todo[on]
+        done += int(np.count_nonzero(found[p] == most))
+        if most and 8 * done > m:
+            on = np.flatnonzero(found[todo[:m]] < most)
+            todo, low, high, need, first, ends = (v[on] for v in (todo, low, high, need, first, ends))
+            done = 0
     return (np.concatenate(later), np.concatenate(earlier)) if later else (np.empty(0, int), np.empty(0, int))
 
 
@@ -278,8 +302,11 @@ _PAIR = "doc bigint, line int, doc2 bigint, line2 int, more int"
 
 
 def _columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
-    """The row's columns, and its signature as a row of a matrix: from the two longs or from the binary that it has."""
-    out = {c: b.column(c).to_numpy(zero_copy_only=False) for c in (*_ROW, "block", "later") if c in b.schema.names}
+    """The row's columns out of the longs of ``_packed``, and its signature as a row of a matrix: from the two longs or from the binary that it has."""
+    out = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "block", "later") if c in b.schema.names}
+    for c, d, both in (("key", "place", "_kp"), ("line", "n", "_ln")):
+        v = b.column(both).to_numpy(zero_copy_only=False)
+        out[c], out[d] = (v >> 32).astype(np.int32), v.astype(np.int32)
     if "sig" in b.schema.names:
         raw = b.column("sig")
         ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
@@ -289,13 +316,27 @@ def _columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
     return out
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with two of the ints of ``_ROW`` in one long each, none of which but the key is negative; Spark's rows spend eight bytes on an int."""
+    two = lambda a, b: F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.col(b).cast("long"))
+    return rows.select(two("key", "place").alias("_kp"), two("line", "n").alias("_ln"), *[c for c in rows.columns if c not in _ROW or c == "doc"])
+
+
+def in_order(group: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Order of rows by group, doc and line; of one number for all three where they fit."""
+    low = int(doc.min())
+    docs, lines = int(doc.max()) - low + 1, int(line.max()) + 1
+    if (int(group[-1]) + 1) * docs * lines >= 1 << 63:
+        return np.lexsort((line, doc, group))
+    return np.argsort((group * docs + (doc - low)) * lines + line)
+
+
 def candidates(rows: DataFrame, most: int = 1) -> DataFrame:
     """doc, line, doc2, line2, more: earlier candidates of rows by key, and block where there is one; the first ``most`` of each, all for 0.
 
     Of rows with a column ``later`` only those that are get candidates; ``more``
     is the key where a row has as many as that, and perhaps others, else null.
     """
-    by = ["key", "block"] if "block" in rows.columns else ["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
@@ -309,13 +350,21 @@ def candidates(rows: DataFrame, most: int = 1) -> DataFrame:
         def out(c: dict[str, np.ndarray], group: np.ndarray) -> pa.RecordBatch:
             b, a = compare_groups(group, c, most)
             full = np.bincount(b, minlength=len(group))[b] >= most if most else np.zeros(len(b), bool)
-            found = np.unique(np.rec.fromarrays([c["doc"][b], c["line"][b], c["doc"][a], c["line"][a], np.where(full, c["key"][b], 0), full], names="a,b,c,d,e,f"))
-            more = pa.array(np.ascontiguousarray(found["e"]), mask=~found["f"])
-            return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(found[k])) for k in "abcd"], more], names=["doc", "line", "doc2", "line2", "more"])
+            found = [c["doc"][b], c["line"][b], c["doc"][a], c["line"][a], np.where(full, c["key"][b], 0), full]
+            order = np.lexsort(found)
+            found = [v[order] for v in found]
+            keep = np.ones(len(order), bool)
+            keep[1:] = np.any([v[1:] != v[:-1] for v in found], 0)
+            found = [v[keep] for v in found]
+            return pa.RecordBatch.from_arrays([*map(pa.array, found[:4]), pa.array(found[4], mask=~found[5])], names=["doc", "line", "doc2", "line2", "more"])
 
         def whole() -> dict[str, np.ndarray]:
             return {k: np.concatenate([h[k] for h in held]) for k in held[0]}
 
+        def ordered(c: dict[str, np.ndarray], group: np.ndarray) -> pa.RecordBatch:
+            order = in_order(group, c["doc"], c["line"])
+            return out({k: v[order] for k, v in c.items()}, group)
+
         for b in batches:
             if not b.num_rows:
                 continue
@@ -327,13 +376,16 @@ def candidates(rows: DataFrame, most: int = 1) -> DataFrame:
             last = int(np.searchsorted(group, group[-1], "left"))  # the last group may go on
             held = [{k: v[last:] for k, v in c.items()}]
             if last:
-                yield out({k: v[:last] for k, v in c.items()}, group[:last])
+                yield ordered({k: v[:last] for k, v in c.items()}, group[:last])
         if held:
             c = whole()
-            yield out(c, groups(c))
+            yield ordered(c, groups(c))
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *by).sortWithinPartitions(*by, "doc", "line").mapInArrow(run, _PAIR)
+    # By one long, which Spark sorts by its digits without comparing rows; the order within a group is made here.
+    key = F.shiftright("_kp", 32)
+    by = F.shiftleft(key, 32).bitwiseOR(F.col("block").cast("long")) if "block" in rows.columns else key
+    return _packed(rows).repartition(parts, by).sortWithinPartitions(by).mapInArrow(run, _PAIR)
 
 
 def _one(pairs: DataFrame) -> DataFrame:
@@ -376,16 +428,24 @@ def looked_up(firsts: DataFrame, open_: DataFrame, hot: DataFrame | None) -> Dat
     return parted.withColumn("block", F.explode(blocks)).drop("parts")
 
 
-def widened(rows: DataFrame, docs: DataFrame, rank: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """``rows`` with wide signatures, made again from the texts."""
+def wide_signatures(rows: DataFrame, docs: DataFrame, rank: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """doc, line and the wide signature of the lines of ``rows``, made again from the texts."""
 
     def wide(o: np.ndarray, edge: np.ndarray, n: np.ndarray) -> pa.Array:
         sig = signature(o, np.repeat(np.arange(len(n)), n), len(n), WIDE)
         offsets = np.arange(len(n) + 1, dtype=np.int32) * (8 * WIDE)
         return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(sig.astype("<u8").tobytes())])
 
-    signed = line_values(docs, cut(rows.select("doc", "line").distinct()), rank, id_col, text_col, "sig binary", wide)
-    return rows.drop("b1", "b2").join(signed, ["doc", "line"])
+    return line_values(docs, cut(rows.select("doc", "line").distinct()), rank, id_col, text_col, "sig binary", wide)
+
+
+def _among(doc: np.ndarray, number: np.ndarray, known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which lines are wanted: ``wanted`` has the place in ``known`` of a line's document, and below it its number, in order."""
+    if not len(wanted):
+        return np.zeros(len(doc), bool)
+    at = np.minimum(np.searchsorted(known, doc), len(known) - 1)
+    key = at << 32 | number
+    return (known[at] == doc) & (wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
 
 
 def _by_doc(lines: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -429,16 +489,8 @@ def line_values(docs: DataFrame, wanted: DataFrame, rank: np.ndarray, id_col: st
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, edges, numbers = sent.value
-
-            def keep(doc: np.ndarray, number: np.ndarray, _: np.ndarray) -> np.ndarray:
-                at = np.searchsorted(known, doc)
-                out = np.zeros(len(doc), bool)
-                at[at == len(known)] = 0
-                for k in np.flatnonzero(known[at] == doc).tolist() if len(known) else ():
-                    own = numbers[edges[at[k]] : edges[at[k] + 1]]
-                    p = np.searchsorted(own, number[k])
-                    out[k] = p < len(own) and own[p] == number[k]
-                return out
+            wanted = np.repeat(np.arange(len(known)), np.diff(edges)) << 32 | numbers
+            keep = lambda doc, number, _: _among(doc, number, known, wanted)
 
             for b in batches:
                 ids = b.column(id_col).to_numpy(zero_copy_only=False)
@@ -518,10 +570,22 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if hot is not None:
         open_ = open_.unionByName(key_rows(firsts).join(hot, "key", "left_semi").select("doc", "line", "key"))
     open_ = cut(open_.distinct().join(gone, ["doc", "line"], "left_anti"))
+    looks = open_ if hot is None else open_.join(hot, "key", "left")
+    looks = looks.agg(F.count("*") if hot is None else F.sum(F.coalesce("parts", F.lit(1)))).first()[0] or 0
+    if looks and (most := min(MORE_TRIES, firsts.count() // looks)) > tries:
+        more = cut(candidates(looked_up(firsts, open_, hot), most))
+        gone = cut(gone.unionByName(settle(more.drop("more").distinct())).distinct())
+        open_ = more.where("more IS NOT NULL").select("doc", "line", F.col("more").alias("key"))
+        open_ = cut(open_.distinct().join(gone, ["doc", "line"], "left_anti"))
+        release(spark)
+    signed = None
     for most in (1, 0):
         if open_.isEmpty():
             break
-        more = candidates(widened(looked_up(firsts, open_, hot), docs, rank, id_col, text_col), most).drop("more")
+        rows = looked_up(firsts, open_, hot)
+        # The second time's rows are among the first's.
+        signed = signed if signed is not None else cut(wide_signatures(rows, docs, rank, id_col, text_col))
+        more = candidates(rows.drop("b1", "b2").join(signed, ["doc", "line"]), most).drop("more")
         more = cut(_one(more) if most else more.distinct())
         gone = cut(gone.unionByName(settle(more)).distinct())
         left = more.select("doc", "line").distinct().join(gone, ["doc", "line"], "left_anti")
